@@ -1,0 +1,6 @@
+"""Nothing is registered here: all supported workloads are bounded batches.
+
+The record-level steps (``sources.vcf.parse_vcf`` and everything in
+``operators.normalize``) are stateless, so they also accept a streaming
+DataFrame with a ``value`` column unchanged.
+"""
