@@ -204,13 +204,11 @@ def chi2_sf_np(x: np.ndarray, df: float) -> np.ndarray:
     return np.where(np.isfinite(x) & (x > 0), p.reshape(x.shape), 1.0)
 
 
-_erfc_np = np.frompyfunc(math.erfc, 1, 1)
-
-
 def chi2_1_sf_np(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
     good = np.isfinite(x) & (x > 0)
-    p = _erfc_np(np.sqrt(np.where(good, x, 0.0) / 2)).astype(float)
+    root = np.sqrt(np.where(good, x, 0.0) / 2)
+    p = np.array([math.erfc(v) for v in root.ravel()]).reshape(x.shape)
     return np.where(good, np.maximum(p, P_MIN), 1.0)
 
 

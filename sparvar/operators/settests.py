@@ -357,7 +357,8 @@ def covariance_moments(ranked: DataFrame, carriers: DataFrame, null: NullModel,
         "set_id", "a", F.explode(F.sequence(F.col("a"), F.col("_tiles") - 1)).alias("b"))
     # Rows of K for tile a go to every pair (a, b) and (b, a).
     ends = pairs.select("set_id", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("r"))
-    sent = sparse.withColumnRenamed("a", "r").join(ends, ["set_id", "r"]).select("set_id", "a", "b", "j1", "j2", "s")
+    sent = sparse.withColumnRenamed("a", "r").join(ends, ["set_id", "r"]).select(
+        F.col("set_id").alias("k_set"), F.col("a").alias("k_a"), F.col("b").alias("k_b"), "j1", "j2", "s")
     members = meta.join(pairs, "set_id").select("set_id", "a", "b", "j", *hs, *weights)
     nw = len(weights)
 
@@ -390,7 +391,7 @@ def covariance_moments(ranked: DataFrame, carriers: DataFrame, null: NullModel,
             "set_id": key[0], "weight": weights, "c1": sums[:, 0], "c2": sums[:, 1], "c3": sums[:, 2], "c4": sums[:, 3],
         })
 
-    part = members.groupBy("set_id", "a", "b").cogroup(sent.groupBy("set_id", "a", "b")).applyInPandas(
+    part = members.groupBy("set_id", "a", "b").cogroup(sent.groupBy("k_set", "k_a", "k_b")).applyInPandas(
         traces, "set_id string, weight string, c1 double, c2 double, c3 double, c4 double")
     return part.groupBy("set_id", "weight").agg(*[F.sum(c).alias(c) for c in ("c1", "c2", "c3", "c4")])
 
@@ -586,7 +587,7 @@ def population_frequencies(carriers: DataFrame, groups: DataFrame, ancestry: str
 
 def ancestry_individual_tests(carriers: DataFrame, null: NullModel, ancestry: str, w11: np.ndarray, w25: np.ndarray, pop_sizes: list[int]) -> DataFrame:
     """Single-variant ensemble p-value, native: per-population sums, then weightings."""
-    from ..functions.prob import chi2_sf
+    from ..functions.prob import cauchy_combine, chi2_sf
     from ..functions.variant import beta_weight
 
     hs = h_cols(null)
@@ -607,24 +608,28 @@ def ancestry_individual_tests(carriers: DataFrame, null: NullModel, ancestry: st
     agg = agg.withColumns({
         f"ap_{p}": beta_weight(F.least(F.col(f"pm_{p}"), 1.0 - F.col(f"pm_{p}")), 1, 25) for p in range(np_)
     })
-    ps = []
-    for col in range(w11.shape[1]):
-        for scale in ([F.lit(float(w11[p, col])) for p in range(np_)],
-                      [F.col(f"ap_{p}") * float(w25[p, col]) for p in range(np_)]):
-            def mix(f: str, power: int = 1, scale=scale) -> Column:
-                acc = F.lit(0.0)
-                for p in range(np_):
-                    acc = acc + (scale[p] if power == 1 else scale[p] * scale[p]) * F.col(f"{f}_{p}")
-                return acc
-
-            hm = [mix(h) for h in hs]
-            k = mix("gg", 2)
-            for i in range(len(hs)):
-                for j in range(len(hs)):
-                    k = k - float(null.cov_inv[i, j]) * hm[i] * hm[j]
-            stat = F.when(k > 0, F.pow(mix("u"), F.lit(2.0)) / (null.sigma2 * k))
-            ps.append(F.when(stat.isNotNull(), chi2_sf(stat)).otherwise(1.0))
-    return agg.select(
-        "variant_id", F.array(*[f"pm_{p}" for p in range(np_)]).alias("pop_mafs"), F.array(*ps).alias("runs"),
-    ).withColumn("ai_pvalue", _combine(F.col("runs")))
+    # One row per weighting; the grouping by variant is kept, so no further shuffle.
+    runs = [
+        F.struct(F.lit(kind).alias("scaled"), *[F.lit(float(table[p, col])).alias(f"v{p}") for p in range(np_)])
+        for col in range(w11.shape[1]) for kind, table in ((False, w11), (True, w25))
+    ]
+    long = agg.withColumn("run", F.explode(F.array(*runs)))
+    long = long.withColumns({
+        f"s_{p}": F.col(f"run.v{p}") * F.when(F.col("run.scaled"), F.col(f"ap_{p}")).otherwise(1.0) for p in range(np_)
+    })
+
+    def mix(f: str, power: int = 1) -> Column:
+        acc = F.lit(0.0)
+        for p in range(np_):
+            acc = acc + F.pow(F.col(f"s_{p}"), F.lit(float(power))) * F.col(f"{f}_{p}")
+        return acc
+
+    from .score import quad_form
 
+    mixed = long.select(
+        "variant_id", F.array(*[f"pm_{p}" for p in range(np_)]).alias("pop_mafs"),
+        mix("u").alias("u"), mix("gg", 2).alias("gg"), *[mix(h).alias(h) for h in hs],
+    ).withColumn("k", F.col("gg") - quad_form(null.cov_inv, hs))
+    stat = F.when(F.col("k") > 0, F.col("u") * F.col("u") / (null.sigma2 * F.col("k")))
+    tested = mixed.withColumn("stat", stat).withColumn("p", F.when(F.col("stat").isNotNull(), chi2_sf(F.col("stat"))).otherwise(1.0))
+    return tested.groupBy("variant_id").agg(F.first("pop_mafs").alias("pop_mafs"), cauchy_combine(F.col("p")).alias("ai_pvalue"))

@@ -152,7 +152,9 @@ CTES["lscore"] = _scores("carriers", "lnm", "lcv")
 def chi2_1(t: str) -> str:
     """Chi-square(1) tail through the positive-term series of erf."""
     x = f"sqrt(({t})/2)"
-    terms = f"list_sum(list_transform(range(1, 90), lambda i: exp(i*ln(2*{x}*{x}) - list_sum(list_transform(range(1, i + 1), lambda j: ln(2*j + 1.0))))))"
+    # Term i is (2x^2)^i / (2i+1)!!, with the double factorial through lgamma.
+    terms = (f"list_sum(list_transform(range(1, 110), lambda i: exp(i*ln(2*{x}*{x}) - (i + 1)*ln(2.0) "
+             f"- lgamma(i + 1.5) + 0.5*ln(pi()))))")
     return f"CASE WHEN ({t}) > 0 THEN 1 - 2*{x}/sqrt(pi())*exp(-{x}*{x})*(1 + {terms}) ELSE 1.0 END"
 
 
