@@ -77,7 +77,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray | None]], bits: int = BITS,
     """Weights and bias by full-batch gradient steps with momentum, on shared buckets."""
     size = 1 << bits
     if not rows:
-        return np.zeros(size), 0.0
+        return np.zeros(size), -1.0
     pairs = [(y, own, twin) for y, own, twin in rows]
     seen = np.bincount(np.concatenate([own for _, own, _ in pairs]), minlength=size)
     label = np.array([y for y, _, _ in pairs], dtype=float)

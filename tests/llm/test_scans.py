@@ -155,3 +155,60 @@ def test_links_equal_brute_force(make):
     rows = [(i, " ".join(pick.choice(bits) for _ in range(25))) for i in range(12)]
     got = {r.doc_id: sorted((x.s, x.k, x.e) for x in r.spans) for r in secrets.find_secrets(make(rows)).collect()}
     assert got == {i: sorted(brute_base(t) + brute_linked(t, secrets.SCOPE)) for i, t in rows}
+
+
+def test_quality_against_labels(spark, make):
+    from sparvar.llm import quality
+
+    sf = "/root/testdata/sf0.01"
+    out = quality.classify(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"]), "doc_id")
+    counts = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert counts.get((1, False), 0) <= 0.01 * counts[1, True]
+    assert counts.get((0, True), 0) <= 0.1 * counts[0, False]
+    odd = quality.classify(make([(1, None), (1, ""), (2, "a b"), (None, "plain words stand here and say little, as ever."), (3, "### " * 4000)]))
+    assert odd.count() == 5 and {r.doc_id for r in odd.where("kept").collect()} >= {1, 2, None}
+    assert quality.classify(make([])).count() == 0
+
+
+def test_vote_model_recovers_accuracies():
+    import numpy as np
+
+    from sparvar.llm import quality
+
+    rng = np.random.default_rng(3)
+    y = rng.random(20000) < 0.8
+    right = np.linspace(0.75, 0.95, len(quality.LABELLERS))
+    silent = rng.random((20000, len(right))) < 0.3
+    good = np.where(rng.random((20000, len(right))) < right, y[:, None], ~y[:, None])
+    v = np.where(silent, quality.SILENT, np.where(good, quality.GOOD, quality.BAD))
+    codes, counts = np.unique(quality._codes(v), return_counts=True)
+    theta, post = quality.expectation_maximisation(dict(zip(codes.tolist(), counts.tolist(), strict=True)))
+    assert np.allclose(theta[1, :, quality.GOOD] / (1 - theta[1, :, quality.SILENT]), right, atol=0.03)
+    assert np.mean([(post[c] > 0.5) == t for c, t in zip(quality._codes(v).tolist(), y.tolist(), strict=True)]) > 0.97
+
+
+def test_toxicity(spark, make):
+    from sparvar.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    out = toxicity.score(docs, toxicity.train(docs, labels, held)).where(held).join(labels, "doc_id")
+    counts = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] > 5 * counts.get((1, 0), 0) and counts.get((0, 1), 0) <= 0.01 * counts[0, 0]
+    none = toxicity.score(make([(1, None), (1, ""), (None, "x")]), toxicity.train(make([]), labels.limit(0))).collect()
+    assert len(none) == 3 and all(0 <= r.score <= 1 and r.predicted == 0 for r in none)
+
+
+def test_counterfactual_penalty_frees_neutral_mentions(spark):
+    from sparvar.llm import toxicity
+
+    rows = [(i, ("muslim idiot go away" if i % 2 else "christian people sing well") + f" w{i % 9}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(1, "muslim people sing well"), (2, "christian people sing well"), (3, "christian idiot go away")], "doc_id long, text string")
+    got = {r.doc_id: (r.predicted, r.score) for r in toxicity.score(neutral, toxicity.train(docs, labels)).collect()}
+    assert got[1][0] == got[2][0] == 0 and got[3][0] == 1 and abs(got[1][1] - got[2][1]) < 0.1
+    loose = toxicity.train(docs, labels, identity_sets=[])
+    free = {r.doc_id: r.score for r in toxicity.score(neutral, loose).collect()}
+    assert abs(free[1] - free[2]) > abs(got[1][1] - got[2][1])
