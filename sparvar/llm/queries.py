@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets, sentencepieces, substring_dedup, toxicity
+from ..session import scratch_path
+from . import decontaminate, quality, secrets, sentencepieces, separators, substring_dedup, toxicity
+
+#: End-of-document id of the public byte-level vocabulary.
+SEPARATOR = 50256
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +105,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_quality_classifier")
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents")).select("doc_id", "posterior", "score", "kept")
+
+
+@_query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    separators.write_flat(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.tiktoken"), SEPARATOR)
+    return separators.count_tokens(spark.read.parquet(folder), SEPARATOR).select(F.col("doc").alias("doc_id"), "n_tokens", "closed")
