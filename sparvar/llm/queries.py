@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, quality, secrets, sentencepieces, separators, substring_dedup, toxicity
+from . import decontaminate, quality, secrets, sentencepieces, separators, substring_dedup, topk, toxicity
 
 #: End-of-document id of the public byte-level vocabulary.
 SEPARATOR = 50256
@@ -112,3 +112,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     separators.write_flat(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.tiktoken"), SEPARATOR)
     return separators.count_tokens(spark.read.parquet(folder), SEPARATOR).select(F.col("doc").alias("doc_id"), "n_tokens", "closed")
+
+
+_OP7_SQL = """
+WITH r AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM r),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20"""
+
+
+@_query("op7_top_k", _OP7_SQL)
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
