@@ -1,20 +1,23 @@
 """Exact Jaccard join in the metric space of word-shingle sets.
 
-Distance is one minus Jaccard similarity.  A region starts as the documents that share a
-prefix shingle: two sets of similarity ``t`` share one of the first ``n - ceil(t n) + 1``
-shingles of each, in any common order, so regions lose no pair; the order puts shingles
-of crowded hash buckets last.  Each region names pivots, whose distances to all its
-documents are measured.  By the triangle inequality two linked documents differ by at
-most ``1 - t`` in distance to a pivot, so the region splits into rings of that width
-around its first pivot, and every document is also put into the next ring (the boundary
-copy).  A pivot has met its whole region and leaves it; a region whose documents are
-already connected is done; the others are joined again in the same way until none is
-left.  No region lists its pairs: each round measures documents against at most
-``PIVOTS`` pivots.
-
-Documents of equal sets are one node throughout, so groups of copies cost one row each.
-Intermediate tables are written to the shared folder, and nothing is collected but the
-fixed-size bucket counts, the filter words and row counts.
+Distance is one minus Jaccard similarity and ``e = 1 - t``.  A region starts as the
+documents that share a prefix shingle: two sets of similarity ``t`` share one of the
+first ``n - ceil(t n) + 1`` shingles of each, in any common order, so regions lose no
+pair; the order puts shingles of crowded hash buckets last.  Each region has a pivot,
+and the distances of its documents to the pivot cut it in two, as in a Voronoi diagram
+of the pivot and the rest: by the triangle inequality documents within ``e`` of the
+pivot are linked only to such within ``2e``, so the inner cell holds those within ``2e``,
+the outer cell those from ``e`` on, and documents between are put into both.  A pivot
+has met its whole region and leaves it; cells whose documents are already connected are
+done; the others are joined again in the same way until none is left.  No region lists
+its pairs: a round compares documents with at most ``PIVOTS`` pivots, of different
+components.
+
+A histogram of a set's hashes over ``CELLS`` cells bounds similarity from above (two sets
+share at most the smaller count of each cell), so whole sets are fetched only for
+distances that the bound leaves open.  Documents of equal sets are one node throughout,
+so groups of copies cost one row each.  Intermediate tables are written to the shared
+folder; collected are only bucket counts and filter words of fixed size.
 
 Defined results: an empty set (null or wordless text) is linked with nothing; a text of
 fewer words than the shingle size is one shingle; rows without id take no part
@@ -36,7 +39,8 @@ from . import words as W
 
 ORDER_BITS = 16
 FILTER_BITS = 23
-PIVOTS = 8
+PIVOTS = 16
+CELLS = 128
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -91,13 +95,15 @@ def _prefixes(size: int, percent: int, shared):
         level = shared.value
         for batch in batches:
             for part in W.blocks(batch, "text"):
-                sizes, prints, keys = [], [], []
+                sizes, prints, keys, cells = [], [], [], []
                 for own in _sets(part.column("text"), size):
                     sizes.append(len(own))
                     prints.append(_print(own))
                     order = np.lexsort((own, level[_bucket(own)]))[: prefix_length(len(own), percent) if len(own) else 0]
                     keys.append(W.signed(own[order]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "fp", "keys"])
+                    cells.append(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32))
+                columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "n", "fp", "keys", "cells"])
 
     return run
 
@@ -145,11 +151,25 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("x", "y", F.size(F.array_intersect("own_x", "own_y")).cast("long").alias("common"), F.size("own_x").cast("long").alias("n_x"), F.size("own_y").cast("long").alias("n_y"))
 
 
+def _reaches(common, n_x, n_y, percent: int):
+    return common * 100 >= (n_x + n_y - common) * percent
+
+
+def _open(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x, y) whose histograms leave a link open, or nearness to a main pivot.
+
+    ``pairs`` has x, y, n and cells of both, and whether y is the main pivot.
+    """
+    most = F.aggregate(F.zip_with("cells_x", "cells_y", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
+    need = F.when(F.col("is_main"), F.lit(2 * percent - 100)).otherwise(F.lit(percent))
+    return pairs.withColumn("most", most).where(_reaches(F.col("most"), F.col("n_x"), F.col("n_y"), need)).select("x", "y").distinct()
+
+
 def _single(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Members with their component, of regions that still hold two; equal regions once."""
-    placed = members.join(comp, "node")
-    state = placed.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sign"), F.count("*").alias("size"))
-    live = state.where("c0 < c1").groupBy("sign", "size").agg(F.min("region").alias("region"))
+    placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    state = placed.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("node")).alias("sign"), F.sum(F.hash("node").cast("long")).alias("sum"), F.count("*").alias("size"))
+    live = state.where("c0 < c1").groupBy("sign", "sum", "size").agg(F.min("region").alias("region"))
     return placed.join(live.select("region"), "region")
 
 
@@ -163,18 +183,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts[[r.bucket for r in crowd]] = [r.n for r in crowd]
     level = np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())) * 2)).astype(np.int64)
 
-    rows = texts.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(level)), "id long, n long, fp long, keys array<long>")
-    prefixed = stored(rows.where("id IS NOT NULL AND n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "prefixes")
+    rows = texts.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(level)), "id long, n long, fp long, keys array<long>, cells array<int>")
+    prefixed = stored(rows.where("id IS NOT NULL AND n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells")), "prefixes")
     # Ids that repeat with other texts get a node number of their own.
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("fp"))
     node = F.when(nth == 1, F.col("rep")).otherwise(F.col("fp").bitwiseOR(F.lit(-(1 << 63))))
-    names = stored(prefixed.select("fp", "rep", node.alias("node")), "nodes")
+    names = stored(prefixed.select("fp", "rep", node.alias("node"), "n", "cells"), "nodes")
     keyed = prefixed.select("fp", "keys").join(names.select("fp", "node"), "fp").select("node", F.explode("keys").alias("region"))
     shared = keyed.groupBy("region").agg(F.min("node").alias("y"), F.max("node").alias("far")).where("y < far").select(F.bitwise_not("region").alias("r"), "y")
-    members = stored(keyed.join(shared, F.bitwise_not("region") == F.col("r")).select("region", "node", "y"), "regions")
+    members = stored(keyed.join(shared, F.bitwise_not("region") == F.col("r")).select("region", "node", "y"), "shared")
+    # Near copies share most of their prefixes: regions of the same documents are kept once.
+    one = members.groupBy("region").agg(F.bit_xor(F.xxhash64("node")).alias("sign"), F.sum(F.hash("node").cast("long")).alias("sum"), F.count("*").alias("size"))
+    one = one.groupBy("sign", "sum", "size").agg(F.min("region").alias("region")).select("region")
+    members = stored(members.join(one, "region"), "regions")
 
     # The sets of all nodes in a region, picked by a filter of fixed size and then exactly.
-    used = stored(members.select("node").distinct().join(names, "node").select("node", "fp"), "used")
+    used = stored(members.select("node").distinct().join(names, "node").select("node", "fp", "n", "cells"), "used")
     spot = used.select(F.col("fp").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("spot"))
     filled = spot.select(F.shiftright("spot", 6).alias("w"), F.expr("shiftleft(1L, CAST(spot & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
@@ -182,36 +206,39 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picked = text.mapInArrow(_sets_of(size, spark.sparkContext.broadcast(bits.view(np.uint64))), "fp long, own array<long>")
     sets = stored(used.join(picked, "fp").groupBy("node").agg(F.first("own").alias("own")), "sets")
 
-    linked = F.col("common") * 100 >= (F.col("n_x") + F.col("n_y") - F.col("common")) * percent
+    linked = _reaches(F.col("common"), F.col("n_x"), F.col("n_y"), percent)
     width = (100 - percent) / 100
     distance = 1 - F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common"))
-    links, comp = None, None
-    # The first pivot of a region is its smallest node; later ones come from several components.
-    asked = members.where("node != y").select(F.col("node").alias("x"), "y").distinct()
-    members = members.select("region", "node", F.col("y").alias("main"), F.lit(False).alias("met"))
+    shape = used.select("node", "n", "cells")
+    as_x = shape.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("cells").alias("cells_x"))
+    as_y = shape.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("cells").alias("cells_y"))
+    # The first pivot of a region is its smallest node.
+    first = members.where("node != y").select(F.col("node").alias("x"), "y").distinct().withColumn("is_main", F.lit(True))
+    asked = _open(first.join(as_x, "x").join(as_y, "y"), percent)
+    members = members.where("node != y").select("region", "node", F.col("y").alias("main"))
+    links = None
     while True:
         found = stored(_measured(asked, sets), "distances")
         new = found.where(linked).select("x", "y")
-        links = stored(new if links is None else links.unionByName(new), "linked")
-        comp = components(used, links)
-        # Rings around the first pivot; 1e-9 guards the border against rounding.
+        links = stored(new if links is None else links.unionByName(new).distinct(), "linked")
+        ends = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
+        comp = components(ends, links)
+        # 1e-9 guards the borders against rounding; what was not measured is far.
         far = found.select(F.col("x").alias("node"), F.col("y").alias("main"), distance.alias("d"))
-        ringed = members.join(far, ["node", "main"], "left").where(~F.col("met") & (F.col("node") != F.col("main")))
-        ring = F.floor((F.col("d") + 1e-9) / width)
-        low = F.floor((F.col("d") - 1e-9) / width)
-        ringed = ringed.select("region", "node", F.explode(F.array_distinct(F.array(low, ring, ring + 1))).alias("ring"))
-        split = ringed.select(F.xxhash64("region", "ring").alias("region"), "node").distinct()
+        placed = members.join(far, ["node", "main"], "left").withColumn("d", F.coalesce("d", F.lit(1.0)))
+        cells = F.array_compact(F.array(F.when(F.col("d") < 2 * width + 1e-9, 0), F.when(F.col("d") > width - 1e-9, 1)))
+        split = placed.select("region", "node", F.explode(cells).alias("cell")).select(F.xxhash64("region", "cell").alias("region"), "node")
         live = stored(_single(split, comp), "live")
         if live.isEmpty():
             break
         heads = live.groupBy("region", "comp").agg(F.min("node").alias("y"))
         heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("comp"))).where(F.col("k") <= PIVOTS)
-        heads = stored(heads.select("region", F.col("comp").alias("p_comp"), "y", "k"), "pivots")
-        asked = live.join(heads, "region").where((F.col("node") != F.col("y")) & ((F.col("k") == 1) | (F.col("comp") != F.col("p_comp")))).select(F.col("node").alias("x"), "y").distinct()
-        mains = heads.where("k = 1").select("region", F.col("y").alias("main"))
-        gone = heads.select("region", F.col("y").alias("node"), F.lit(True).alias("gone"))
-        members = live.select("region", "node").join(mains, "region").join(gone, ["region", "node"], "left").select("region", "node", "main", F.coalesce("gone", F.lit(False)).alias("met"))
-        members = stored(members, "members")
+        heads = stored(heads.select("region", F.col("comp").alias("p_comp"), "y", (F.col("k") == 1).alias("is_main")), "pivots")
+        met = live.join(as_x, F.col("node") == F.col("x")).join(heads.join(as_y, "y"), "region")
+        asked = _open(met.where((F.col("x") != F.col("y")) & (F.col("is_main") | (F.col("comp") != F.col("p_comp")))), percent)
+        mains = heads.where("is_main").select("region", F.col("y").alias("main"))
+        rest = live.join(heads.select("region", F.col("y").alias("node")), ["region", "node"], "left_anti")
+        members = stored(rest.select("region", "node").join(mains, "region"), "members")
 
     labels = names.join(comp, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"), "rep")
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
