@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import words as W
 
-_LOW = np.int64(0xFFFFFFFF)
+#: Stands for a null id, and is given back as null.
+NO_ID = -(1 << 63)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows by id and checksum, neither of them null, so that every join of the texts reads one exchange."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(text).alias("crc"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text).alias("crc"), text.alias("text"))
 
 
 def _anchors(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -93,23 +95,27 @@ def _emit_windows(window: int, half: int):
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Hashes that occur in two documents, with the smallest; partial sums go first."""
-    return rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("h").alias("rh"), "least")
+    """Hashes that occur in two documents, with the smallest; partial sums go first.
+
+    The hash is given as its complement: a join on it then deals both sides out anew,
+    which lets adaptive execution split the rows of a hash that very many windows share.
+    """
+    return rows.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.bitwise_not("h").alias("rh"), "least")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """``(id, crc, at)``: word positions where a window starts that also starts in a smaller id."""
     half = (window + 1) // 2
     keyed = _keyed(docs, id_col, text_col)
-    anchors = keyed.where("id IS NOT NULL").mapInArrow(_emit_anchors(window, half), "h long, id long, crc long")
+    anchors = keyed.where(F.col("id") != NO_ID).mapInArrow(_emit_anchors(window, half), "h long, id long, crc long")
     known = (
-        anchors.join(_repeated(anchors), F.col("h") == F.col("rh"))
+        anchors.join(_repeated(anchors), F.bitwise_not("h") == F.col("rh"))
         .groupBy(F.col("id").alias("k_id"), F.col("crc").alias("k_crc"))
         .agg(F.collect_set("h").alias("repeated"), F.collect_set(F.when(F.col("id") > F.col("least"), F.col("h"))).alias("later"))
     )
     live = keyed.join(known, (F.col("id") == F.col("k_id")) & (F.col("crc") == F.col("k_crc"))).select("id", "crc", "text", "repeated", "later")
     full = live.mapInArrow(_emit_windows(window, half), "h long, id long, key long, later boolean")
-    return full.where("later").join(_repeated(full), (F.col("h") == F.col("rh")) & (F.col("id") > F.col("least"))).select(
+    return full.where("later").join(_repeated(full), (F.bitwise_not("h") == F.col("rh")) & (F.col("id") > F.col("least"))).select(
         "id", F.shiftrightunsigned("key", 32).alias("crc"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")
     )
 
@@ -138,7 +144,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = repeated_windows(docs, id_col, text_col, window).groupBy(F.col("id").alias("k_id"), F.col("crc").alias("k_crc")).agg(F.collect_list("at").alias("at"))
     keyed = _keyed(docs, id_col, text_col)
     marked = keyed.join(hits, (F.col("id") == F.col("k_id")) & (F.col("crc") == F.col("k_crc")), "left").select("id", "text", "at")
-    return marked.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    out = marked.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept string")
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept")
 
 
 def _extend(length: int, step: int | None):
@@ -172,11 +179,11 @@ def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Each level extends only what the level before found repeated, and is written to the
     shared folder; the loop ends when a level leaves nothing.
     """
-    keyed = _keyed(docs, id_col, text_col).where("id IS NOT NULL")
+    keyed = _keyed(docs, id_col, text_col).where(F.col("id") != NO_ID)
     schema, length, found = "h long, id long, crc long, at long", start, None
     rows = keyed.mapInArrow(_extend(length, None), schema)
     while True:
-        alive = cut_lineage(rows.join(_repeated(rows), F.col("h") == F.col("rh"), "left_semi").select("id", "crc", "at"))
+        alive = cut_lineage(rows.join(_repeated(rows), F.bitwise_not("h") == F.col("rh"), "left_semi").select("id", "crc", "at"))
         level = alive.select("id").distinct().withColumn("longest", F.lit(length))
         if alive.isEmpty():
             break
