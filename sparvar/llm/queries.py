@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontaminate, jaccard_join, quality, secrets, sentencepieces, separators, substring_dedup, topk, toxicity
+from . import decontaminate, jaccard_join, lm_scores, quality, secrets, sentencepieces, separators, substring_dedup, topk, toxicity
 
 #: End-of-document id of the public byte-level vocabulary.
 SEPARATOR = 50256
@@ -143,3 +143,10 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least FROM
 @_query("op6_jaccard_join", _OP6_SQL)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
+
+
+@_query("op4_lm_scores")
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string")) % 7
+    scored = lm_scores.score_texts(_table(spark, sf_dir, "documents"), part != 2, tokenizer_path("byte_bpe_50k.tiktoken"), SEPARATOR)
+    return scored.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
