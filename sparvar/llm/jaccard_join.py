@@ -103,7 +103,7 @@ def _prefixes(size: int, percent: int, shared):
                     keys.append(W.signed(own[order]))
                     cells.append(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32))
                 columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "n", "fp", "keys", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("crc"), *columns], names=["id", "crc", "n", "fp", "keys", "cells"])
 
     return run
 
@@ -174,16 +174,17 @@ def _single(members: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``(id, n_shingles, component_id)`` per row of ``docs``."""
+    """``(id, n_shingles, component_id, text_crc)`` per row of ``docs``."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(whole).alias("crc"), whole.alias("text"))
     text = texts.select("text")
     crowd = text.mapInArrow(_crowding(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << ORDER_BITS)
     counts[[r.bucket for r in crowd]] = [r.n for r in crowd]
     level = np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())) * 2)).astype(np.int64)
 
-    rows = texts.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(level)), "id long, n long, fp long, keys array<long>, cells array<int>")
+    rows = texts.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(level)), "id long, crc long, n long, fp long, keys array<long>, cells array<int>")
     prefixed = stored(rows.where("id IS NOT NULL AND n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells")), "prefixes")
     # Ids that repeat with other texts get a node number of their own.
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("fp"))
@@ -243,7 +244,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = names.join(comp, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"), "rep")
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = labels.join(least, "comp").select("fp", "component_id")
-    own = rows.select("id", "n", "fp")
+    own = rows.select("id", "crc", "n", "fp")
     has = F.col("id").isNotNull() & (F.col("n") > 0)
-    out = own.join(final, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.when(has, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = own.join(final, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.when(has, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("crc").alias("text_crc"))
     return out.withColumnRenamed("id", id_col)

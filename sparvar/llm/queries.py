@@ -142,7 +142,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS least FROM
 
 @_query("op6_jaccard_join", _OP6_SQL)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_components(_table(spark, sf_dir, "documents"))
+    return jaccard_join.near_components(_table(spark, sf_dir, "documents")).drop("text_crc")
 
 
 @_query("op4_lm_scores")
