@@ -198,14 +198,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = one.groupBy("sign", "sum", "size").agg(F.min("region").alias("region")).select("region")
     members = stored(members.join(one, "region"), "regions")
 
-    # The sets of all nodes in a region, picked by a filter of fixed size and then exactly.
     used = stored(members.select("node").distinct().join(names, "node").select("node", "fp", "n", "cells"), "used")
-    spot = used.select(F.col("fp").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("spot"))
-    filled = spot.select(F.shiftright("spot", 6).alias("w"), F.expr("shiftleft(1L, CAST(spot & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    bits[[r.w for r in filled]] = [r.b for r in filled]
-    picked = text.mapInArrow(_sets_of(size, spark.sparkContext.broadcast(bits.view(np.uint64))), "fp long, own array<long>")
-    sets = stored(used.join(picked, "fp").groupBy("node").agg(F.first("own").alias("own")), "sets")
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """Sets of nodes, picked from the texts by a filter of fixed size and then exactly."""
+        prints = stored(wanted.join(used.select("node", "fp"), "node").select("node", "fp"), "wanted")
+        spot = prints.select(F.col("fp").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("spot"))
+        filled = spot.select(F.shiftright("spot", 6).alias("w"), F.expr("shiftleft(1L, CAST(spot & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+        bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+        bits[[r.w for r in filled]] = [r.b for r in filled]
+        picked = text.mapInArrow(_sets_of(size, spark.sparkContext.broadcast(bits.view(np.uint64))), "fp long, own array<long>")
+        return stored(prints.join(picked, "fp").groupBy("node").agg(F.first("own").alias("own")), "sets")
 
     linked = _reaches(F.col("common"), F.col("n_x"), F.col("n_y"), percent)
     width = (100 - percent) / 100
@@ -217,8 +220,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = members.where("node != y").select(F.col("node").alias("x"), "y").distinct().withColumn("is_main", F.lit(True))
     asked = _open(first.join(as_x, "x").join(as_y, "y"), percent)
     members = members.where("node != y").select("region", "node", F.col("y").alias("main"))
-    links = None
+    links, sets = None, None
     while True:
+        asked = stored(asked, "asked")
+        wanted = asked.select(F.col("x").alias("node")).unionByName(asked.select(F.col("y").alias("node"))).distinct()
+        if sets is None:
+            sets = fetched(wanted)
+        elif not (missing := wanted.join(sets.select("node"), "node", "left_anti")).isEmpty():
+            sets = sets.unionByName(fetched(missing))
         found = stored(_measured(asked, sets), "distances")
         new = found.where(linked).select("x", "y")
         links = stored(new if links is None else links.unionByName(new).distinct(), "linked")
