@@ -62,11 +62,18 @@ def qq_points(sets: DataFrame, p: str = "STAAR-O", keep: int = 3000, tail: int =
     )
 
 
+TIE_DIGITS = 12
+
+
 def best_per_gene(sets: DataFrame, p: str = "STAAR-O") -> DataFrame:
-    """The lowest-p mask of every gene and chromosome."""
+    """The lowest-p mask of every gene and chromosome.
+
+    Masks can hold the same variants, whose p-values then differ in their last bits by
+    the order of summation; ``TIE_DIGITS`` decimals and then the name decide.
+    """
     pv = F.col(f"`{p}`")
     ok = sets.filter(pv.isNotNull() & ~F.isnan(pv))
-    best = F.min_by(F.struct("mask", pv.alias("p"), "n_variants", "cmac"), F.struct(pv, "mask"))
+    best = F.min_by(F.struct("mask", pv.alias("p"), "n_variants", "cmac"), F.struct(F.round(pv, TIE_DIGITS), "mask"))
     return ok.groupBy("gene_name", "chromosome").agg(best.alias("b")).select("gene_name", "chromosome", "b.*")
 
 

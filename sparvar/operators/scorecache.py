@@ -9,21 +9,16 @@ from . import gram
 from .nullmodel import NullModel
 from .score import h_cols, quad_form, variant_scores
 
-CELL_LIMIT = 2000
+def save(path: str, members: DataFrame, carriers: DataFrame, null: NullModel, mode: str = "errorifexists") -> None:
+    """Writes ``u`` (per variant), ``k`` (cells of every set) and ``null``.
 
-
-def save(path: str, members: DataFrame, carriers: DataFrame, null: NullModel, limit: int = CELL_LIMIT, mode: str = "errorifexists") -> None:
-    """Writes ``u`` (per variant), ``k`` (cells of sets up to ``limit`` variants) and ``null``.
-
-    Cells are kept as rows, projected and divided by sigma^2; larger sets are
-    recomputed on demand from genotypes.
+    Cells are kept as rows, projected and divided by sigma^2, for sets of any size.
     """
     hs, s2 = h_cols(null), null.sigma2
     scores = variant_scores(carriers, null)
     (scores.select("variant_id", (F.col("u") / s2).alias("u"), (F.col("k") / s2).alias("v"), "mac")
      .write.mode(mode).option("compression", "zstd").parquet(f"{path}/u"))
-    small = members.groupBy("set_id").agg(F.count("*").alias("m")).filter(F.col("m") <= limit).select("set_id")
-    ranked = gram.rank_members(members.select("set_id", "variant_id").join(small, "set_id", "left_semi"))
+    ranked = gram.rank_members(members.select("set_id", "variant_id"))
     cells = gram.pair_products(ranked, carriers, null.vectors.select("sample_idx", "w"))
     named = ranked.join(scores.select("variant_id", *hs), "variant_id", "left").fillna(0.0, subset=hs)
     a = named.select("set_id", F.col("j").alias("j1"), F.col("variant_id").alias("va"), *[F.col(h).alias(f"a_{h}") for h in hs])

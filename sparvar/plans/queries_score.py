@@ -625,7 +625,7 @@ def c07(c: Cohort) -> DataFrame:
     return R.qq_points(burden_table(c), keep=10, tail=5).select("mask", "i", rnd("expected", 9), rnd("observed", 7))
 
 
-@query("C08_A18_volcano", sql("", """SELECT gene_name, chromosome, arg_min(mask, (p, mask)) AS mask, round(min(p), 8) AS p, greatest(arg_min(cmac, (p, mask)), 1) AS cmac, min(p) < 2.5e-6 AS significant FROM bt GROUP BY 1, 2""", **_BT))
+@query("C08_A18_volcano", sql("", """SELECT gene_name, chromosome, arg_min(mask, (round(p, 12), mask)) AS mask, round(min(p), 8) AS p, greatest(arg_min(cmac, (round(p, 12), mask)), 1) AS cmac, min(p) < 2.5e-6 AS significant FROM bt GROUP BY 1, 2""", **_BT))
 def c08(c: Cohort) -> DataFrame:
     from ..operators import report as R
 

@@ -92,9 +92,8 @@ def s03(c: Cohort) -> DataFrame:
 @query("S04_sorted_table_join", sql("annot", "SELECT variant_id, gene_name FROM annot WHERE region_type = 'exonic'"))
 def s04(c: Cohort) -> DataFrame:
     """Bucketed and sorted table; joins on its keys need no shuffle of that side."""
-    import uuid
-
-    name = f"sorted_{uuid.uuid4().hex}"
+    name = "sorted_annotation"
+    c.spark.sql(f"DROP TABLE IF EXISTS {name}")
     ann = A.extract_annotation(c.annotation_raw, ["variant_id", "chromosome", "position"])
     keys = ["chromosome", "position"]
     ann.select("variant_id", *keys, "gene_name", "region_type").write.bucketBy(8, *keys).sortBy(*keys).option(

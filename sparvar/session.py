@@ -30,11 +30,13 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, local runs) is a private temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local session may go without
+    (tests): it gets a private temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark, "_sparvar_scratch", None)
         if root is None:
             root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

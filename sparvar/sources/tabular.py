@@ -11,21 +11,21 @@ from ..functions.variant import normalize_chromosome
 
 # Accepted header spellings per canonical column.
 HEADER_ALIASES = {
-    "chromosome": "chromosome chr chrom #chrom #chr chr_name chrom_id hg38chrc",
-    "position": "position pos bp base_pair_location bp_hg38 bp_grch38 pos_hg38 start chromstart beg",
-    "ref": "ref reference ref_allele other_allele nea non_effect_allele",
-    "alt": "alt alternate alt_allele effect_allele ea tested_allele risk_allele",
-    "rsid": "rsid rsids snp snpid variant_id markername rs rs_id",
-    "beta": "beta effect effect_size b log_or",
-    "se": "se stderr standard_error sebeta",
-    "pvalue": "pvalue p pval p_value p.value p_val",
-    "neglog10p": "log10p neglog10p mlogp log10_p nlog10p",
-    "zscore": "z zscore z_score z_stat",
-    "n": "n neff n_eff sample_size n_total",
-    "pip": "pip posterior_prob posterior_inclusion_prob pp",
-    "cs_id": "cs cs_id credible_set cs_index",
-    "odds_ratio": "or odds_ratio",
-    "allele_freq": "af freq eaf maf allele_frequency effect_allele_frequency",
+    "chromosome": ["chromosome", "chr", "chrom", "#chrom", "#chr", "chr_name", "chrom_id", "hg38chrc"],
+    "position": ["position", "pos", "bp", "base_pair_location", "bp_hg38", "bp_grch38", "pos_hg38", "start", "chromstart", "beg"],
+    "ref": ["ref", "reference", "ref_allele", "other_allele", "nea", "non_effect_allele"],
+    "alt": ["alt", "alternate", "alt_allele", "effect_allele", "ea", "tested_allele", "risk_allele"],
+    "rsid": ["rsid", "rsids", "snp", "snpid", "variant_id", "markername", "rs", "rs_id"],
+    "beta": ["beta", "effect", "effect_size", "b", "log_or"],
+    "se": ["se", "stderr", "standard_error", "sebeta"],
+    "pvalue": ["pvalue", "p", "pval", "p_value", "p.value", "p_val"],
+    "neglog10p": ["log10p", "neglog10p", "mlogp", "log10_p", "nlog10p"],
+    "zscore": ["z", "zscore", "z_score", "z_stat"],
+    "n": ["n", "neff", "n_eff", "sample_size", "n_total"],
+    "pip": ["pip", "posterior_prob", "posterior_inclusion_prob", "pp"],
+    "cs_id": ["cs", "cs_id", "credible_set", "cs_index"],
+    "odds_ratio": ["or", "odds_ratio"],
+    "allele_freq": ["af", "freq", "eaf", "maf", "allele_frequency", "effect_allele_frequency"],
 }
 # Headers whose allele role varies between studies.
 AMBIGUOUS_HEADERS = ["a1", "a2", "allele1", "allele2"]
@@ -38,7 +38,7 @@ _TYPES = {
     "position": "int", "n": "int", "cs_id": "int",
     **dict.fromkeys(["beta", "se", "pvalue", "zscore", "neglog10p", "pip", "odds_ratio", "allele_freq"], "double"),
 }
-_CANONICAL = {a: name for name, row in HEADER_ALIASES.items() for a in row.split()}
+_CANONICAL = {a: name for name, row in HEADER_ALIASES.items() for a in row}
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], sep: str = "\t") -> DataFrame:
@@ -128,28 +128,28 @@ def ingest_tabular(df: DataFrame, zero_based: bool = False, numeric_mt: bool = F
     return result.filter("chromosome is not null") if "chromosome" in source else result
 
 
+def _ranked(columns: list[str], candidates: list[str]) -> str | None:
+    """The column that the earliest candidate names."""
+    place = {c: k for k, c in reversed([*enumerate(candidates)])}
+    return min((c for c in columns if c in place), key=place.__getitem__, default=None)
+
+
 def resolve_column(wanted: str, columns: list[str], explicit: dict[str, str] | None = None) -> str:
-    """Explicit map, then exact name, then a unique case-insensitive match."""
-    explicit = explicit or {}
-    if wanted in explicit:
-        if explicit[wanted] in columns:
-            return explicit[wanted]
-        raise ValueError(f"'{wanted}' is mapped to '{explicit[wanted]}', which is absent. Available: {', '.join(columns)}")
-    if wanted in columns:
-        return wanted
-    same = [c for c in columns if c.lower() == wanted.lower()]
-    if len(same) == 1:
-        return same[0]
-    raise ValueError(f"column '{wanted}' not found. Available: {', '.join(columns)}")
+    """The explicit map decides where it names the column; else its own spelling, else the only one alike."""
+    alike = [c for c in columns if c.casefold() == wanted.casefold()]
+    candidates = [explicit[wanted]] if wanted in (explicit or {}) else [wanted, *(alike if len(alike) == 1 else [])]
+    found = _ranked(columns, candidates)
+    if found is None:
+        raise ValueError(f"no column for {' or '.join(map(repr, dict.fromkeys([wanted, *candidates])))} among {columns}")
+    return found
 
 
 def resolve_sample_id(columns: list[str], explicit: dict[str, str] | None = None) -> str:
-    named = (explicit or {}).get("id")
-    if named in columns:
-        return named
-    if columns[0].lower() in {a.lower() for a in SAMPLE_ID_HEADERS}:
-        return columns[0]
-    return next((a for a in SAMPLE_ID_HEADERS if a in columns), columns[0])
+    """Mapped id column, first column if it is spelt like an id, known spellings, first column."""
+    spelt = {a.casefold() for a in SAMPLE_ID_HEADERS}
+    mapped = [explicit["id"]] if "id" in (explicit or {}) else []
+    first = [c for c in columns[:1] if c.casefold() in spelt]
+    return _ranked(columns, [*mapped, *first, *SAMPLE_ID_HEADERS, *columns[:1]])
 
 
 def read_phenotype(
