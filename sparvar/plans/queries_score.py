@@ -336,7 +336,40 @@ def x05(c: Cohort) -> DataFrame:
 # ---------------------------------------------------------------- special modes
 
 
-@query("T13_variant_saddlepoint")
+def _upper(z: str) -> str:
+    """Upper normal tail from the chi-square one."""
+    return f"CASE WHEN ({z}) >= 0 THEN ({chi2_1(f'({z})*({z})')})/2 ELSE 1 - ({chi2_1(f'({z})*({z})')})/2 END"
+
+
+def _slope_sql(t: str) -> str:
+    e = f"exp(least(greatest(({t})*g, -500), 500))"
+    return f"sum(g*mu*({e}/(1 - mu + mu*{e}) - 1))"
+
+
+# The same root by plain bisection: bracket by powers of eight, then halve sixty times.
+_SPA = {
+    "spa_st": f"""SELECT variant_id, score, v, {chi2_1('score*score/v')} AS p_normal FROM (
+  SELECT variant_id, sum(dosage*r) AS score, sum(mu*(1-mu)*dosage*dosage) AS v FROM carriers JOIN lnm USING (sample_idx) GROUP BY 1)""",
+    "spa_rows": "SELECT variant_id, CAST(dosage AS DOUBLE) AS g, mu FROM carriers JOIN lnm USING (sample_idx) WHERE variant_id IN (SELECT variant_id FROM spa_st WHERE p_normal <= 0.05)",
+    "spa_hi": f"""SELECT variant_id, side, a, coalesce(min(CASE WHEN s*side >= a THEN pw END), pow(8.0, 16)) AS hi FROM (
+  SELECT r.variant_id, side, pw, abs(any_value(st.score)) AS a, {_slope_sql('side*pw')} AS s
+  FROM spa_rows r JOIN spa_st st USING (variant_id), (VALUES (1.0::DOUBLE), (-1.0::DOUBLE)) x(side), (SELECT pow(8.0::DOUBLE, i) AS pw FROM range(17) y(i)) GROUP BY 1, 2, 3) GROUP BY 1, 2, 3""",
+    "spa_root": f"""SELECT variant_id, side, a, (lo + hi)/2*side AS t FROM (
+  WITH RECURSIVE b AS (SELECT 0 AS it, variant_id, side, a, CASE WHEN hi > 1 THEN hi/8 ELSE 0.0 END AS lo, hi FROM spa_hi
+  UNION ALL SELECT it + 1, variant_id, side, a, CASE WHEN s < a THEN mid ELSE lo END, CASE WHEN s < a THEN hi ELSE mid END FROM (
+    SELECT it, b.variant_id, side, a, lo, hi, (lo + hi)/2 AS mid, {_slope_sql('side*(lo + hi)/2')}*side AS s FROM b JOIN spa_rows USING (variant_id) WHERE it < 60 GROUP BY it, b.variant_id, side, a, lo, hi))
+  SELECT * FROM b WHERE it = 60)""",
+    "spa_cum": """SELECT variant_id, side, a, t, sum(ln(1 - mu + mu*e) - t*mu*g) AS k0, sum(mu*(1 - mu)*g*g*e/((1 - mu + mu*e)*(1 - mu + mu*e))) AS k2 FROM (
+  SELECT *, exp(least(greatest(t*g, -500), 500)) AS e FROM spa_root JOIN spa_rows USING (variant_id)) GROUP BY 1, 2, 3, 4""",
+    "spa_tail": f"""SELECT variant_id, sum(CASE WHEN side > 0 THEN up ELSE 1 - up END) AS p FROM (
+  SELECT variant_id, side, CASE WHEN abs(t) <= 1e-12 THEN {_upper('a*side/sqrt(v)')} WHEN k2 <= 0 OR tq < 0 OR abs(w) < 1e-12 THEN 0.5
+    ELSE least(greatest({_upper('w')} + exp(-w*w/2)/sqrt(2*pi())*(1/w - 1/(t*sqrt(k2))), 0), 1) END AS up FROM (
+    SELECT *, sign(t)*sqrt(greatest(tq, 0)) AS w FROM (SELECT c.*, st.v, 2*(t*a*side - k0) AS tq FROM spa_cum c JOIN spa_st st USING (variant_id)))) GROUP BY 1""",
+}
+
+
+@query("T13_variant_saddlepoint", sql("carriers lnm", """SELECT variant_id, round(p_normal, 8) AS p_normal, round(CASE WHEN v > 0 AND p_normal <= 0.05 THEN least(t.p, 1.0) ELSE p_normal END, 8) AS p
+FROM spa_st LEFT JOIN spa_tail t USING (variant_id)""", **_SPA))
 def t13(c: Cohort) -> DataFrame:
     from ..operators import spa
 
