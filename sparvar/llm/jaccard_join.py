@@ -39,7 +39,7 @@ from . import words as W
 
 ORDER_BITS = 16
 FILTER_BITS = 23
-PIVOTS = 16
+PIVOTS = 256
 CELLS = 128
 
 
@@ -220,7 +220,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = members.where("node != y").select(F.col("node").alias("x"), "y").distinct().withColumn("is_main", F.lit(True))
     asked = _open(first.join(as_x, "x").join(as_y, "y"), percent)
     members = members.where("node != y").select("region", "node", F.col("y").alias("main"))
-    links, sets = None, None
+    need = F.when(F.col("is_main"), F.lit(2 * percent - 100)).otherwise(F.lit(percent))
+    links, sets, comp = None, None, None
     while True:
         asked = stored(asked, "asked")
         wanted = asked.select(F.col("x").alias("node")).unionByName(asked.select(F.col("y").alias("node"))).distinct()
@@ -230,9 +231,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = sets.unionByName(fetched(missing))
         found = stored(_measured(asked, sets), "distances")
         new = found.where(linked).select("x", "y")
-        links = stored(new if links is None else links.unionByName(new).distinct(), "linked")
-        ends = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
-        comp = components(ends, links)
+        if links is None or not new.isEmpty():
+            links = stored(new if links is None else links.unionByName(new).distinct(), "linked")
+            ends = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
+            comp = components(ends, links)
         # 1e-9 guards the borders against rounding; what was not measured is far.
         far = found.select(F.col("x").alias("node"), F.col("y").alias("main"), distance.alias("d"))
         placed = members.join(far, ["node", "main"], "left").withColumn("d", F.coalesce("d", F.lit(1.0)))
@@ -244,7 +246,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = live.groupBy("region", "comp").agg(F.min("node").alias("y"))
         heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("comp"))).where(F.col("k") <= PIVOTS)
         heads = stored(heads.select("region", F.col("comp").alias("p_comp"), "y", (F.col("k") == 1).alias("is_main")), "pivots")
-        met = live.join(as_x, F.col("node") == F.col("x")).join(heads.join(as_y, "y"), "region")
+        # Sizes bound similarity too, and cost least to compare.
+        alike = (F.col("n_x") * 100 >= F.col("n_y") * need) & (F.col("n_y") * 100 >= F.col("n_x") * need)
+        met = live.join(as_x, F.col("node") == F.col("x")).join(heads.join(as_y, "y").withColumnRenamed("region", "r"), (F.col("region") == F.col("r")) & alike)
         asked = _open(met.where((F.col("x") != F.col("y")) & (F.col("is_main") | (F.col("comp") != F.col("p_comp")))), percent)
         mains = heads.where("is_main").select("region", F.col("y").alias("main"))
         rest = live.join(heads.select("region", F.col("y").alias("node")), ["region", "node"], "left_anti")
