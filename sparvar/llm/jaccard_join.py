@@ -15,7 +15,8 @@ components.
 
 A histogram of a set's hashes over ``CELLS`` cells bounds similarity from above (two sets
 share at most the smaller count of each cell), so whole sets are fetched only for
-distances that the bound leaves open.  Documents of equal sets are one node throughout,
+pairs that may be linked, and a document whose distance to the pivot stays unknown goes
+by its bound.  Documents of equal sets are one node throughout,
 so groups of copies cost one row each.  Intermediate tables are written to the shared
 folder; collected are only bucket counts and filter words of fixed size.
 
@@ -40,7 +41,7 @@ from . import words as W
 ORDER_BITS = 16
 FILTER_BITS = 23
 PIVOTS = 256
-CELLS = 128
+CELLS = 256
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -155,14 +156,16 @@ def _reaches(common, n_x, n_y, percent: int):
     return common * 100 >= (n_x + n_y - common) * percent
 
 
-def _open(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (x, y) whose histograms leave a link open, or nearness to a main pivot.
+def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``(x, y, near, open)`` by histograms: whether ``2e`` and ``e`` are within reach.
 
-    ``pairs`` has x, y, n and cells of both, and whether y is the main pivot.
+    ``pairs`` has x, y, n and cells of both, and ``is_main``; only pairs with a main
+    pivot are kept when no link is within reach.
     """
     most = F.aggregate(F.zip_with("cells_x", "cells_y", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
-    need = F.when(F.col("is_main"), F.lit(2 * percent - 100)).otherwise(F.lit(percent))
-    return pairs.withColumn("most", most).where(_reaches(F.col("most"), F.col("n_x"), F.col("n_y"), need)).select("x", "y").distinct()
+    reach = [_reaches(F.col("most"), F.col("n_x"), F.col("n_y"), p) for p in (2 * percent - 100, percent)]
+    out = pairs.withColumn("most", most).select("x", "y", "is_main", reach[0].alias("near"), reach[1].alias("open"))
+    return out.where("is_main OR open").select("x", "y", "near", "open").distinct()
 
 
 def _single(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -218,12 +221,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as_y = shape.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("cells").alias("cells_y"))
     # The first pivot of a region is its smallest node.
     first = members.where("node != y").select(F.col("node").alias("x"), "y").distinct().withColumn("is_main", F.lit(True))
-    asked = _open(first.join(as_x, "x").join(as_y, "y"), percent)
+    pairs = stored(_bounded(first.join(as_x, "x").join(as_y, "y"), percent), "pairs")
     members = members.where("node != y").select("region", "node", F.col("y").alias("main"))
-    need = F.when(F.col("is_main"), F.lit(2 * percent - 100)).otherwise(F.lit(percent))
     links, sets, comp = None, None, None
     while True:
-        asked = stored(asked, "asked")
+        asked = pairs.where("open").select("x", "y")
         wanted = asked.select(F.col("x").alias("node")).unionByName(asked.select(F.col("y").alias("node"))).distinct()
         if sets is None:
             sets = fetched(wanted)
@@ -235,10 +237,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = stored(new if links is None else links.unionByName(new).distinct(), "linked")
             ends = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
             comp = components(ends, links)
-        # 1e-9 guards the borders against rounding; what was not measured is far.
+        # Known distances place a document; of others the bound tells which are far, and the
+        # rest goes to both cells.  1e-9 guards the borders against rounding.
         far = found.select(F.col("x").alias("node"), F.col("y").alias("main"), distance.alias("d"))
-        placed = members.join(far, ["node", "main"], "left").withColumn("d", F.coalesce("d", F.lit(1.0)))
-        cells = F.array_compact(F.array(F.when(F.col("d") < 2 * width + 1e-9, 0), F.when(F.col("d") > width - 1e-9, 1)))
+        bound = pairs.select(F.col("x").alias("node"), F.col("y").alias("main"), "near")
+        placed = members.join(bound, ["node", "main"], "left").join(far, ["node", "main"], "left")
+        inner = F.coalesce(F.col("d") < 2 * width + 1e-9, F.col("near"), F.lit(False))
+        outer = F.coalesce(F.col("d") > width - 1e-9, F.lit(True))
+        cells = F.array_compact(F.array(F.when(inner, 0), F.when(outer, 1)))
         split = placed.select("region", "node", F.explode(cells).alias("cell")).select(F.xxhash64("region", "cell").alias("region"), "node")
         live = stored(_single(split, comp), "live")
         if live.isEmpty():
@@ -247,9 +253,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("comp"))).where(F.col("k") <= PIVOTS)
         heads = stored(heads.select("region", F.col("comp").alias("p_comp"), "y", (F.col("k") == 1).alias("is_main")), "pivots")
         # Sizes bound similarity too, and cost least to compare.
-        alike = (F.col("n_x") * 100 >= F.col("n_y") * need) & (F.col("n_y") * 100 >= F.col("n_x") * need)
+        alike = F.col("is_main") | ((F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
         met = live.join(as_x, F.col("node") == F.col("x")).join(heads.join(as_y, "y").withColumnRenamed("region", "r"), (F.col("region") == F.col("r")) & alike)
-        asked = _open(met.where((F.col("x") != F.col("y")) & (F.col("is_main") | (F.col("comp") != F.col("p_comp")))), percent)
+        pairs = stored(_bounded(met.where((F.col("x") != F.col("y")) & (F.col("is_main") | (F.col("comp") != F.col("p_comp")))), percent), "pairs")
         mains = heads.where("is_main").select("region", F.col("y").alias("main"))
         rest = live.join(heads.select("region", F.col("y").alias("node")), ["region", "node"], "left_anti")
         members = stored(rest.select("region", "node").join(mains, "region"), "members")
