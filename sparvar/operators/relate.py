@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 DIVERGENCE_CUTOFF = -0.025
-DIVERGENCE_VARIANTS = 10_000
-COMPONENT_LIMIT = 65_536
 ISAF_MIN, ISAF_MAX = 1e-4, 1.9999
 
 
@@ -56,10 +54,10 @@ def connected_components(pairs: DataFrame, check_every: int = 1) -> DataFrame:
 
 
 def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, samples: DataFrame,
-               max_variants: int = DIVERGENCE_VARIANTS, cutoff: float = DIVERGENCE_CUTOFF) -> DataFrame:
+               max_variants: int | None = None, cutoff: float = DIVERGENCE_CUTOFF) -> DataFrame:
     """Per related sample, how many others look ancestrally divergent.
 
-    A strided subset of variants is the feature.  For a pair,
+    All variants count; ``max_variants`` asks for a strided subset.  For a pair,
     ``homopp = hom_i + hom_j - 2[both hom] - [hom,het] - [het,hom]`` where absent
     carriers are reference homozygotes.  Pairs are counted by block: a task
     multiplies one block of related samples with one block of all samples and
@@ -68,7 +66,8 @@ def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, sam
     from .cohort import ordered_rank
 
     total = variants.count()
-    step = 1 if total <= max_variants else total // max_variants
+    max_variants = total if max_variants is None else max_variants
+    step = max(1, total // max(1, max_variants))
     order = ordered_rank(
         variants.withColumn("_all", F.lit(0)), ["_all"],
         F.col("chromosome_rank") * 1_000_000 + F.floor(F.col("position") / 4096), ["chromosome_rank", "position", "ref", "alt"], "_ord")
@@ -327,14 +326,14 @@ def threshold_symmetric(kin: DataFrame, threshold: float) -> DataFrame:
     ).otherwise(F.array(F.struct("i", "j", "kinship"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "kinship")))).alias("t")).select("t.*")
 
 
-def refine_threshold(kin: DataFrame, threshold: float, limit: int = COMPONENT_LIMIT) -> tuple[float, DataFrame, bool]:
-    """(threshold, components, raised): raised in small steps until components fit ``limit``."""
+def refine_threshold(kin: DataFrame, threshold: float, limit: int | None = None) -> tuple[float, DataFrame, bool]:
+    """(threshold, components, raised): raised in small steps only where a caller gives a ``limit`` for components."""
     active = cut_lineage(kin.filter((F.col("i") < F.col("j")) & (F.col("kinship") >= threshold)).select("i", "j", "kinship"))
     raised = False
     while True:
         comp = connected_components(active)
         top = comp.groupBy("component").count().agg(F.max("count").alias("m")).first()["m"] or 0
-        if top <= limit:
+        if limit is None or top <= limit:
             return threshold, comp, raised
         raised = True
         threshold *= 2.0 ** 0.01
@@ -349,7 +348,7 @@ def new_component_pairs(components: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def relatedness_matrix(pairs: DataFrame, carriers: DataFrame, variants: DataFrame, samples: DataFrame, div: DataFrame,
-                       n_pcs: int, degree: int, n_iter: int = 10, limit: int = COMPONENT_LIMIT) -> dict[str, DataFrame]:
+                       n_pcs: int, degree: int, n_iter: int = 10, limit: int | None = None) -> dict[str, DataFrame]:
     """Whole job: unrelated subset, PCs, pair kinship, threshold and second pass."""
     unrelated = cut_lineage(unrelated_subset(pairs, samples, div))
     scores, _ = principal_components(carriers, samples, unrelated, n_pcs, n_iter)

@@ -43,3 +43,4 @@ def rnd(c: str | Column, digits: int, name: str | None = None) -> Column:
 def load_all() -> None:
     from . import queries_table  # noqa: F401  (defines shared CTEs, so it comes first)
     from . import queries_score  # noqa: F401
+    from . import queries_more  # noqa: F401
