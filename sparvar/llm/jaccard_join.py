@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import words as W
 
-ORDER_BITS = 16
+ORDER_BITS = 18
 FILTER_BITS = 23
-PIVOTS = 256
+PIVOTS = 64
 CELLS = 256
+_FULL = 32767
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -102,8 +103,10 @@ def _prefixes(size: int, percent: int, shared):
                     prints.append(_print(own))
                     order = np.lexsort((own, level[_bucket(own)]))[: prefix_length(len(own), percent) if len(own) else 0]
                     keys.append(W.signed(own[order]))
-                    cells.append(np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int32))
-                columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32()))]
+                    count = np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                    # A count beyond a short makes all cells full, which bounds nothing.
+                    cells.append((count if count.max() < _FULL else np.full(CELLS, _FULL)).astype(np.int16))
+                columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("crc"), *columns], names=["id", "crc", "n", "fp", "keys", "cells"])
 
     return run
@@ -162,7 +165,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     ``pairs`` has x, y, n and cells of both, and ``is_main``; only pairs with a main
     pivot are kept when no link is within reach.
     """
-    most = F.aggregate(F.zip_with("cells_x", "cells_y", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
+    most = F.aggregate(F.zip_with("cells_x", "cells_y", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c.cast("int"))
     reach = [_reaches(F.col("most"), F.col("n_x"), F.col("n_y"), p) for p in (2 * percent - 100, percent)]
     out = pairs.withColumn("most", most).select("x", "y", "is_main", reach[0].alias("near"), reach[1].alias("open"))
     return out.where("is_main OR open").select("x", "y", "near", "open").distinct()
@@ -185,9 +188,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = text.mapInArrow(_crowding(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << ORDER_BITS)
     counts[[r.bucket for r in crowd]] = [r.n for r in crowd]
-    level = np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())) * 2)).astype(np.int64)
+    # A shingle of many texts lifts its bucket by more than chance: levels of two deviations.
+    level = np.maximum(0, np.floor((counts - counts.mean()) / (2 * np.sqrt(counts.mean() + 1)))).astype(np.int64)
 
-    rows = texts.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(level)), "id long, crc long, n long, fp long, keys array<long>, cells array<int>")
+    rows = texts.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(level)), "id long, crc long, n long, fp long, keys array<long>, cells array<smallint>")
     prefixed = stored(rows.where("id IS NOT NULL AND n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells")), "prefixes")
     # Ids that repeat with other texts get a node number of their own.
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("fp"))
