@@ -92,3 +92,36 @@ def test_within_class_is_a_distribution():
     for row in p:
         sums = np.bincount(class_of, row, minlength=A.CLASSES)
         assert np.allclose(sums[np.unique(class_of)], 1, atol=1e-3)
+
+
+def test_a_pass_learns_from_every_id_and_moves_add_up():
+    rng = np.random.default_rng(6)
+    size, ids = 80, rng.integers(0, 79, 1000)
+    class_of = np.arange(size) % A.CLASSES
+    first = A.Learner(A.initial(size))
+    kept = A.as_rows(first.w)
+    one = A.Pass(first, class_of, 79, batch=4)
+    for at in range(0, 1000, 77):
+        one.add(ids[at : at + 77])
+    at, n, moves = one.moves()
+    assert np.array_equal(A.as_rows(first.w), kept)  # what tasks share stays as it was
+    inputs = np.append([79], ids[:-1])
+    assert np.array_equal(one.seen, np.bincount(inputs, minlength=size)) and set(at[at < size]) == set(inputs)
+    after = A.moved(first.w, at, n, moves)
+    assert np.allclose(A.as_rows(after), A.as_rows(one.learner.w), atol=1e-5)
+    twice = A.moved(first.w, at, 2 * n, 2 * moves)  # a second task that moved alike
+    assert np.allclose(A.as_rows(twice), A.as_rows(after), atol=1e-6)
+
+
+def test_learns_from_texts_beyond_the_sample(spark, make, monkeypatch):
+    """With next to no sample, weights and counts still come from all training texts."""
+    seen = {}
+    moved, within = A.moved, A.within_class
+    monkeypatch.setattr(A, "moved", lambda w, at, n, m: seen.update(n=n.max()) or moved(w, at, n, m))
+    monkeypatch.setattr(A, "within_class", lambda t, c: seen.update(counts=t.sum()) or within(t, c))
+    rows = [(i, f"alpha beta {'gamma' if i % 2 else 'delta'} word{i} again") for i in range(300)] + [(None, "never learned")]
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    lm_scores.score_texts(make(rows), F.col("doc_id") % 3 != 0, path, queries.SEPARATOR, max_ids=1)
+    enc = A.tokenizer(path)
+    want = sum(1 + len(enc.encode_ordinary(" " + t)) for i, t in rows if i is not None and i % 3)
+    assert (seen["n"], seen["counts"]) == (want, want)
