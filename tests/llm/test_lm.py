@@ -125,3 +125,38 @@ def test_learns_from_texts_beyond_the_sample(spark, make, monkeypatch):
     enc = A.tokenizer(path)
     want = sum(1 + len(enc.encode_ordinary(" " + t)) for i, t in rows if i is not None and i % 3)
     assert (seen["n"], seen["counts"]) == (want, want)
+
+
+def test_probabilities_of_all_next_ids_sum_to_one(spark, make, monkeypatch):
+    """For the model as trained: classes mix word starts and inner ids, and some may be empty."""
+    made, build = [], A.Model.__init__
+    monkeypatch.setattr(A.Model, "__init__", lambda self, *a: made.append(self) or build(self, *a))
+    rows = [(i, f"unbelievable tokenization {'xylophones' if i % 2 else 'disestablish'} qzx{i} again") for i in range(300)]
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    lm_scores.score_texts(make(rows), F.lit(True), path, queries.SEPARATOR, max_ids=20_000)
+    model, size = made[0], queries.SEPARATOR + 1
+    starts = np.zeros(size, dtype=bool)
+    starts[: len(A.begins_with_space(path))] = A.begins_with_space(path)[:size]
+    assert any(0 < starts[model.class_of == c].mean() < 1 for c in np.unique(model.class_of))
+    ids = A.tokenizer(path).encode_ordinary(" unbelievable tokenization qzx7")
+    for n in (0, 1, len(ids)):
+        x = np.tile(np.array([queries.SEPARATOR, *ids[:n]]), (size, 1))
+        y = np.zeros((size, x.shape[1]), np.int64)
+        y[:, -1] = np.arange(size)
+        live = np.zeros(y.shape, dtype=bool)
+        live[:, -1] = True
+        full = np.pad(x, ((0, 0), (A.STEP - x.shape[1], 0)), constant_values=queries.SEPARATOR)
+        pad = ((0, 0), (A.STEP - x.shape[1], 0))
+        p = 10.0 ** model._windows(full, np.pad(y, pad), np.pad(live, pad)).astype(float)
+        assert abs(p.sum() - 1) < 2e-3
+
+
+def test_an_empty_class_takes_no_probability():
+    w = A.initial(40)
+    class_of = np.arange(40) % 5
+    inner = A.within_class(np.random.default_rng(8).integers(0, 9, (A.CLASSES, 40)), class_of)
+    model = A.Model(w, class_of, inner)
+    x, y = np.tile(np.arange(A.STEP), (40, 1)), np.tile(np.arange(40)[:, None], (1, A.STEP))
+    live = np.zeros(y.shape, dtype=bool)
+    live[:, -1] = True
+    assert abs((10.0 ** model._windows(x, y, live).astype(float)).sum() - 1) < 1e-3
