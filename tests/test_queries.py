@@ -43,3 +43,11 @@ def test_query_equals_sql(spark, sf, sql, name):
 def test_entry_has_rows_and_optional_queries_are_optional(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pseudo_residuals_run_all_draws(spark, sf):
+    from sparvar.operators import scan
+
+    rows = entry.queries()["R05_pseudo_residuals"](spark, sf).collect()
+    assert sorted(r.draw for r in rows) == list(range(scan.DEFAULT_DRAWS))
+    assert all(r[c] == 0 for r in rows for c in r.asDict() if c.startswith("orth_"))
