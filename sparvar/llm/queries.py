@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
-from . import decontaminate, jaccard_join, lm_scores, quality, secrets, sentencepieces, separators, substring_dedup, topk, toxicity
+from ..session import cut_lineage, scratch_path
+from . import codebooks, dac, decontaminate, fim, jaccard_join, lm_scores, quality, secrets, sentencepieces, separators, substring_dedup, topk, toxicity
 
-#: End-of-document id of the public byte-level vocabulary.
+#: End-of-document ids of the public byte-level vocabulary and of token id files.
 SEPARATOR = 50256
+END_ID = 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +152,60 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string")) % 7
     scored = lm_scores.score_texts(_table(spark, sf_dir, "documents"), part != 2, tokenizer_path("byte_bpe_50k.tiktoken"), SEPARATOR)
     return scored.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@_query("op11_token_codes")
+def op11_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = dac.write_ids(_table(spark, sf_dir, "documents"), scratch_path(spark, "dac"), tokenizer_path("word_bpe_49k.json"), END_ID)
+    return dac.read_documents(files).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+_OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+k AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT doc_id, text, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+s AS (SELECT doc_id, text, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS e FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || e || '<M>' || m ELSE '<S>' || e || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM s"""
+
+
+@_query("op12_fill_in_middle", _OP12_SQL)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def _op13_sql(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Assignment and means of every round, spelled out one after the other."""
+    steps = [
+        f"""r AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"t AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM r, (SELECT unnest(range({parts})) AS p))",
+        f"c0 AS MATERIALIZED (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id, v) AS BIGINT) - 1 AS e, v FROM t QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id, v) <= {entries})",
+    ]
+    near = """SELECT vec_id, label, p, v, min({{d: d, e: e}}).d AS d, min({{d: d, e: e}}).e AS e FROM (SELECT t.vec_id, t.label, t.p, t.v, c.e,
+  CAST(list_sum(list_transform(list_zip(t.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM t JOIN {c} c USING (p)) GROUP BY vec_id, label, p, v"""
+    for k in range(1, rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED ({near.format(c=f'c{k - 1}')})")
+        steps.append(f"m{k} AS (SELECT p, e, i, CAST(sum(v[i]) AS HUGEINT) AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM t) + 1)) AS i) GROUP BY p, e, i)")
+        steps.append(f"""c{k} AS MATERIALIZED (SELECT c.p, c.e, coalesce(g.v, c.v) AS v FROM c{k - 1} c LEFT JOIN
+  (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM m{k} GROUP BY p, e) g USING (p, e))""")
+    steps.append(f"z AS ({near.format(c=f'c{rounds}')})")
+    steps.append(f"b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS h FROM c{rounds})")
+    steps.append("f AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY vec_id, label)")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM f, b"
+
+
+@_query("op13_vector_codes", _op13_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    books = codebooks.train(vectors)
+    coded = cut_lineage(codebooks.encode(vectors, books, keep=("label",)))
+    by_label = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "l_label")
+    # Either side of the join is split or sent whole by its measured size.
+    both = coded.join(by_label, F.col("label").eqNullSafe(F.col("l_label")))
+    digest = hashlib.sha256(",".join(str(int(x)) for x in books.ravel()).encode()).hexdigest()
+    return both.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
