@@ -43,7 +43,7 @@ MAGIC = b"DACIDS1\0"
 RANK_BITS = 512
 FILE_IDS = 1 << 22
 #: Entries and characters of a worker's table of encoded chunks; it starts anew beyond them.
-TABLE_CHUNKS, TABLE_CHARS = 400_000, 16_000_000
+TABLE_CHUNKS, TABLE_CHARS = 600_000, 16_000_000
 _MANIFEST = "part int, nth int, path string, n_docs long, n_ids long"
 
 
@@ -151,10 +151,11 @@ class Codes:
 
 # ------------------------------------------------------------------------ texts
 
-_OTHER, _LETTER, _SPACE, _HIGH = 3, 1, 2, 0
+_OTHER, _DIGIT, _LETTER, _SPACE, _HIGH = 3, 4, 1, 2, 0
 _CLASS = np.full(256, _OTHER, dtype=np.uint8)
 _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
 _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[0x30:0x3A] = _DIGIT
 _CLASS[0x80:] = _HIGH
 
 
@@ -162,9 +163,10 @@ class ChunkIds:
     """Ids of whole texts by a table of distinct chunks.
 
     The tokenizer's pieces never cross white space, nor begin in front of a letter-to-other
-    step and end behind it, as its pattern takes letters in whole runs and reads from the
-    left.  Texts are therefore cut behind white space and between an ASCII letter and an
-    ASCII character that is none, and each distinct chunk is encoded once.  A text that
+    step and end behind it, as its pattern takes letters in whole runs, digits singly, and
+    reads from the left.  Texts are therefore cut behind white space, between an ASCII
+    letter and an ASCII character that is none, and on both sides of an ASCII digit, and
+    each distinct chunk is encoded once.  A text that
     may name a special token is one chunk.
     """
 
@@ -208,7 +210,8 @@ class ChunkIds:
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         kind = _CLASS[data]
         cut = np.zeros(len(data), dtype=bool)
-        cut[1:] = ((kind[:-1] == _LETTER) & (kind[1:] >= _SPACE)) | ((kind[:-1] == _SPACE) & (kind[1:] != _SPACE))
+        left, right = kind[:-1], kind[1:]
+        cut[1:] = ((left == _LETTER) & (right >= _SPACE)) | ((left == _SPACE) & (right != _SPACE)) | ((left == _DIGIT) & (right > _HIGH)) | ((right == _DIGIT) & (left > _HIGH))
         for mark in self.marks:
             for i in np.flatnonzero(np.asarray(pa.compute.match_substring(texts, mark))):
                 cut[offsets[i] : offsets[i + 1]] = False
@@ -219,10 +222,13 @@ class ChunkIds:
         if len(self.known) > TABLE_CHUNKS or self.chars > TABLE_CHARS:
             self.clear()
         names = pieces.dictionary.to_pylist()
-        self_known = self.known
-        if missing := [x for x in names if x not in self_known]:
-            self._add(missing)
-        row = np.fromiter((self_known[x] for x in names), dtype=np.int64, count=len(names))[np.asarray(pieces.indices)]
+        new = len(self.known)
+        found = np.array([self.known.get(x, -1) for x in names], dtype=np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            self._add([names[i] for i in missing])
+            found[missing] = np.arange(new, new + len(missing))
+        row = found[np.asarray(pieces.indices)]
         sizes = self.begin[row + 1] - self.begin[row]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.begin[row] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
@@ -266,7 +272,7 @@ def _write(folder: str, tokenizer: str, end_id: int, file_ids: int):
             return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            for rows in W.blocks(batch, "text", 4 << 20):
+            for rows in W.blocks(batch, "text", 8 << 20):
                 ids, counts = table.encode(rows.column("text"))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 counts = counts + 1
