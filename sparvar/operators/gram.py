@@ -86,12 +86,14 @@ def pair_products(
     types = dict(keyed.dtypes)
     out = f"set_id {types['set_id']}, " + (f"{stratum} {types[stratum]}, " if stratum else "") + "j1 int, j2 int, s double"
 
-    def chunk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chunk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r, c, v = _multiply(pdf, int(key[-2]), int(key[-1]), tile)
         cols = {"set_id": key[0]}
         if stratum:
             cols[stratum] = key[1]
-        return pd.DataFrame({**{k: [x] * len(v) for k, x in cols.items()}, "j1": r.astype("int32"), "j2": c.astype("int32"), "s": v})
+        # Object columns convert when they are empty too: a tile pair may have no cell.
+        named = {k: pd.Series([x] * len(v), dtype=object) for k, x in cols.items()}
+        return pd.DataFrame({**named, "j1": r.astype("int32"), "j2": c.astype("int32"), "s": v})
 
     partial = keyed.groupBy("set_id", *extra, "_chunk", "_a", "_b").applyInPandas(chunk, out)
     return partial.groupBy("set_id", *extra, "j1", "j2").agg(F.sum("s").alias("s"))

@@ -94,7 +94,7 @@ def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, sam
 
     def count(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
-            return pd.DataFrame({"sample_idx": [], "divergence": []})
+            return pd.DataFrame({"sample_idx": np.zeros(0, np.int64), "divergence": np.zeros(0, np.int64)})
         n = min(width, total)
         xh, xo = dense(x, n)
         yh, yo = dense(y, n)

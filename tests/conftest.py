@@ -1,6 +1,11 @@
-import pytest
+import os
 
-from sparvar.session import build_session
+# Dense references in tests multiply on the driver, where a threaded BLAS may not return once the JVM runs.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
+
+from sparvar.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
