@@ -113,6 +113,15 @@ def union_studies(frames: list[DataFrame]) -> DataFrame:
 # --------------------------------------------------------------------- pooling
 
 
+def _require_dense(members: DataFrame, limit: int | None) -> None:
+    from .settests import DENSE_LIMIT, set_sizes
+
+    limit = limit or DENSE_LIMIT
+    top = set_sizes(members).agg(F.max("m").alias("m")).first()["m"]
+    if top is not None and top > limit:
+        raise ValueError(f"a set has {top} variants; pooled tests take at most {limit} per set, split it first")
+
+
 def merge_variants(studies: DataFrame, maf_cutoff: float) -> DataFrame:
     """One row per site in lexicographic allele order.
 
@@ -225,7 +234,6 @@ VALUE_COLS = ["set_id", "j", "position", "maf", "mac_total", "n_total", "u_meta"
 
 def meta_tests(members: DataFrame, segments: DataFrame, minimum: int = 2) -> DataFrame:
     """Pooled battery and burden effect per gene x mask."""
-    from .settests import _require_dense
 
     _require_dense(members, None)
     cells = covariance_cells(members, segments)
@@ -266,7 +274,6 @@ def conditional_tests(members: DataFrame, segments: DataFrame, per_study: bool =
     ``per_study`` conditions inside every study before pooling.  A known locus
     that belongs to the tested mask's gene is not conditioned on.
     """
-    from .settests import _require_dense
 
     _require_dense(members, None)
     cells = covariance_cells(members, segments, by_study=True)

@@ -3,7 +3,8 @@
 Sets up to ``DENSE_LIMIT`` variants are tested from their covariance matrix in
 one grouped task each.  Larger ones never meet in one task: burden and ACAT-V
 come from linear sums and SKAT from power sums of the covariance computed tile
-by tile (``large_set_tests``).
+by tile (``large_set_tests``, and its kin for several traits and for ancestry
+weightings).  No test has a size limit.
 """
 
 from __future__ import annotations
@@ -263,18 +264,44 @@ def _weight_columns(df: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
 
 def large_set_tests(members: DataFrame, carriers: DataFrame, null: NullModel, minimum: int = 2, tile: int = 512) -> DataFrame:
     """The same battery for sets too large for one task."""
-    from ..functions.prob import cauchy_combine, chi2_sf
-    from .score import burden_statistics
+    keyed, sizes = _spread_masks(members, minimum)
+    return _by_mask(_large_battery(keyed, sizes, carriers, null, tile), sizes)
+
 
-    keyed = members
+def _spread_masks(members: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
+    """Each (set, mask) as a set of its own, whose id keeps the pair apart, and their sizes."""
     if "masks" in members.columns:
         keyed = members.withColumn("mask", F.explode("masks")).drop("masks")
     else:
         keyed = members.withColumn("mask", F.lit(None).cast("string"))
-    # Each (set, mask) becomes its own set; ids keep the pair apart.
     keyed = keyed.withColumn("_id", F.concat_ws("\u0001", "set_id", F.coalesce("mask", F.lit("")))).drop("set_id", "mask")
-    sizes = keyed.groupBy("_id").agg(F.count("*").alias("n_variants")).filter(F.col("n_variants") >= minimum)
-    keyed = keyed.join(sizes.select("_id"), "_id", "left_semi").withColumnRenamed("_id", "set_id")
+    sizes = keyed.groupBy("_id").agg(F.count("*").alias("n_variants")).filter(F.col("n_variants") >= minimum).withColumnRenamed("_id", "set_id")
+    return keyed.withColumnRenamed("_id", "set_id").join(sizes.select("set_id"), "set_id", "left_semi"), sizes
+
+
+def _by_mask(every: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(set_id, slot, p) rows to one row per set and mask; a slot without any usable variant is 1, a NaN stays."""
+    slots_all = sizes.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(N_P - 1))).alias("slot"))
+    filled = slots_all.join(every, ["set_id", "slot"], "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
+    arrays = collect_p(filled, ["set_id"]).join(sizes, "set_id")
+    mask = F.split_part("set_id", F.lit("\u0001"), F.lit(2))
+    return arrays.select(
+        F.split_part("set_id", F.lit("\u0001"), F.lit(1)).alias("set_id"),
+        F.when(mask != "", mask).alias("mask"), F.col("n_variants").cast("int").alias("n_variants"), "p",
+    )
+
+
+def _slot(kind: int) -> Column:
+    """Position in the battery of a burden weight's name, ``wb_c_t``."""
+    part = lambda k: F.split_part("weight", F.lit("_"), F.lit(k)).cast("int")
+    return (part(2) * 6 + 2 * kind + part(3)).alias("slot")
+
+
+def _large_battery(keyed: DataFrame, sizes: DataFrame, carriers: DataFrame, null: NullModel, tile: int) -> DataFrame:
+    """(set_id, slot, p) of the battery from linear sums and covariance tiles."""
+    from ..functions.prob import cauchy_combine, chi2_sf
+    from .score import burden_statistics
+
     weighted, slots = _weight_columns(keyed)
     scored = _scored_members(weighted, carriers, null)
     from .score import quad_form
@@ -289,9 +316,7 @@ def large_set_tests(members: DataFrame, carriers: DataFrame, null: NullModel, mi
     burden = burden_statistics(weighted, carriers, null, names).select(
         "set_id", F.col("weight"), "p"
     )
-    burden_rows = burden.select("set_id", (
-        F.split_part("weight", F.lit("_"), F.lit(2)).cast("int") * 6 + F.split_part("weight", F.lit("_"), F.lit(3)).cast("int")
-    ).alias("slot"), "p")
+    burden_rows = burden.select("set_id", _slot(0), "p")
 
     # ACAT-V: common variants singly, the others pooled as one burden per weighting.
     pooled = burden_statistics(
@@ -324,17 +349,7 @@ def large_set_tests(members: DataFrame, carriers: DataFrame, null: NullModel, mi
     skat = qs.join(moments, ["set_id", "weight"]).select(
         "set_id", "slot", F.when(F.col("c1") <= 0, 1.0).otherwise(liu_tail("q", "c1", "c2", "c3", "c4")).alias("p"))
 
-    base = sizes.select(F.col("_id").alias("set_id"), "n_variants")
-    every = burden_rows.unionByName(acat).unionByName(skat)
-    # A weighting without any usable variant leaves p = 1.
-    slots_all = base.select("set_id", F.explode(F.sequence(F.lit(0), F.lit(N_P - 1))).alias("slot"))
-    filled = slots_all.join(every, ["set_id", "slot"], "left").fillna(1.0, subset=["p"])
-    arrays = collect_p(filled, ["set_id"]).join(base, "set_id")
-    mask = F.split_part("set_id", F.lit("\u0001"), F.lit(2))
-    return arrays.select(
-        F.split_part("set_id", F.lit("\u0001"), F.lit(1)).alias("set_id"),
-        F.when(mask != "", mask).alias("mask"), F.col("n_variants").cast("int").alias("n_variants"), "p",
-    )
+    return burden_rows.unionByName(acat).unionByName(skat)
 
 
 def covariance_moments(ranked: DataFrame, carriers: DataFrame, null: NullModel, weights: list[str], tile: int) -> DataFrame:
@@ -465,11 +480,16 @@ def multi_variant_tests(carriers: DataFrame, null: NullModel) -> DataFrame:
 
 
 def multi_set_tests(members: DataFrame, carriers: DataFrame, null: NullModel, minimum: int = 2, limit: int | None = None) -> DataFrame:
-    """Joint battery per set and mask for several traits (dense sets)."""
-    _require_dense(members, limit)
+    """Joint battery per set and mask for several traits."""
     has_masks = "masks" in members.columns
     cols = ["set_id", "variant_id", "maf", *W_COLS] + (["masks"] if has_masks else [])
-    ranked = gram.rank_members(members.select(*cols))
+    dense, large = split_by_size(members.select(*cols).withColumn("set_id", F.col("set_id").cast("string")), limit or DENSE_LIMIT)
+    out = dense_multi_set_tests(dense, carriers, null, minimum)
+    return out if large is None else out.unionByName(large_multi_set_tests(large, carriers, null, minimum))
+
+
+def dense_multi_set_tests(members: DataFrame, carriers: DataFrame, null: NullModel, minimum: int = 2) -> DataFrame:
+    ranked = gram.rank_members(members)
     cells = gram.pair_products(ranked, carriers, null.vectors.select("sample_idx", "w"))
     t = len(null.extra["traits"])
     us, hs = [f"u{i}" for i in range(t)], h_cols(null)
@@ -490,11 +510,54 @@ def multi_set_tests(members: DataFrame, carriers: DataFrame, null: NullModel, mi
     return scored.groupBy("set_id").cogroup(cells.groupBy("set_id")).applyInPandas(test, RESULT)
 
 
-def _require_dense(members: DataFrame, limit: int | None) -> None:
-    limit = limit or DENSE_LIMIT
-    top = set_sizes(members).agg(F.max("m").alias("m")).first()["m"]
-    if top is not None and top > limit:
-        raise ValueError(f"a set has {top} variants; this test takes at most {limit} per set, split it first")
+def large_multi_set_tests(members: DataFrame, carriers: DataFrame, null: NullModel, minimum: int = 2, tile: int = 512) -> DataFrame:
+    """The joint battery for sets too large for one task.
+
+    The covariance is residual x genotype: eigenvalue powers of the product are products of
+    power sums, so the genotype's tiles serve all traits at once.
+    """
+    from dataclasses import replace
+
+    from ..functions.prob import cauchy_combine, chi2_sf, liu_tail
+    from .score import burden_statistics, quad_form
+
+    keyed, sizes = _spread_masks(members, minimum)
+    weighted, slots = _weight_columns(keyed)
+    sinv, hs = null.extra["residual_inv"], h_cols(null)
+    t = sinv.shape[0]
+    us = [f"u{i}" for i in range(t)]
+    needed = carriers.join(weighted.select("variant_id").distinct(), "variant_id", "left_semi")
+    sums = multi_variant_scores(needed, null).select("variant_id", *us, *hs, "k")
+    turned = [sum((F.lit(float(sinv[a, b])) * F.col(us[b]) for b in range(t)), F.lit(0.0)) for a in range(t)]
+    scored = weighted.join(sums, "variant_id", "left").fillna(0.0, subset=[*us, *hs, "k"]).withColumns({
+        "common": F.round(2 * F.col("maf") * null.n) > COUNT_LIMIT, "size2": sum((x * x for x in turned), F.lit(0.0)),
+        "sp": F.when(F.col("k") > 0, chi2_sf(quad_form(sinv, us) / F.col("k"), t)).otherwise(1.0),
+    })
+    one = replace(null, vectors=null.vectors.withColumn("r", F.col("r0")), sigma2=1.0)
+    names = [f"wb_{c}_{x}" for c, x in slots]
+
+    def joint(rows: DataFrame) -> DataFrame:
+        """(set_id, weight, p): the burden of the given members under every weighting."""
+        parts = rows.groupBy("set_id").agg(*[F.sum(F.col(w) * F.col(u)).alias(f"{w}_{u}") for w in names for u in us])
+        b = parts.select("set_id", F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), *[F.col(f"{w}_{u}").alias(u) for u in us]) for w in names])).alias("s")).select("set_id", "s.*")
+        v = burden_statistics(rows.select("set_id", "variant_id", *names), carriers, one, names).select("set_id", "weight", "wkw")
+        # A set whose members nobody carries has no variance row.
+        return b.join(v, ["set_id", "weight"], "left").select("set_id", "weight", F.when(F.col("wkw") > 0, chi2_sf(quad_form(sinv, us) / F.col("wkw"), t)).otherwise(1.0).alias("p"))
+
+    parts = scored.select("set_id", "common", "sp", F.explode(F.array(*[
+        F.struct(F.lit(f"wb_{c}_{x}").alias("weight"), F.col(f"wa_{c}_{x}").alias("wa")) for c, x in slots])).alias("s")).select("set_id", "common", "sp", "s.*").filter("wa != 0")
+    singles = parts.filter("common").select("set_id", "weight", F.col("sp").alias("p"), F.col("wa").alias("cw"))
+    rare = parts.filter("not common").groupBy("set_id", "weight").agg(F.avg("wa").alias("cw")).join(joint(scored.filter("not common")), ["set_id", "weight"])
+    acat = singles.unionByName(rare.select("set_id", "weight", "p", "cw")).groupBy("set_id", "weight").agg(cauchy_combine(F.col("p"), F.col("cw")).alias("p"))
+
+    q = scored.groupBy("set_id").agg(*[F.sum(F.col(f"ws_{c}_{x}") * F.col(f"ws_{c}_{x}") * F.col("size2")).alias(f"q_{c}_{x}") for c, x in slots])
+    qs = q.select("set_id", F.explode(F.array(*[F.struct(F.lit(f"ws_{c}_{x}").alias("weight"), F.col(f"q_{c}_{x}").alias("q")) for c, x in slots])).alias("s")).select("set_id", "s.*")
+    lam = np.maximum(np.linalg.eigvalsh(sinv), 0.0)
+    moments = covariance_moments(gram.rank_members(scored), carriers, one, [f"ws_{c}_{x}" for c, x in slots], tile)
+    moments = moments.select("set_id", "weight", *[(F.col(f"c{e}") * float((lam**e).sum())).alias(f"c{e}") for e in (1, 2, 3, 4)])
+    skat = qs.join(moments, ["set_id", "weight"]).select("set_id", _slot(1), F.when(F.col("c1") <= 0, 1.0).otherwise(liu_tail("q", "c1", "c2", "c3", "c4")).alias("p"))
+    every = joint(scored).select("set_id", _slot(0), "p").unionByName(skat).unionByName(acat.select("set_id", _slot(2), "p"))
+    return _by_mask(every, sizes)
 
 
 # ------------------------------------------------------------ ancestry-informed
@@ -521,10 +584,61 @@ def ancestry_set_tests(
     then algebra on those, never another pass over genotypes.  ``ancestry`` must
     be a 0-based population code among the null model's kept columns.
     """
-    _require_dense(members, limit)
     has_masks = "masks" in members.columns
     cols = ["set_id", "variant_id", "maf", *W_COLS] + (["masks"] if has_masks else [])
-    ranked = gram.rank_members(members.select(*cols))
+    dense, large = split_by_size(members.select(*cols).withColumn("set_id", F.col("set_id").cast("string")), limit or DENSE_LIMIT)
+    out = dense_ancestry_set_tests(dense, carriers, null, ancestry, w11, w25, pop_sizes, minimum)
+    return out if large is None else out.unionByName(large_ancestry_set_tests(large, carriers, null, ancestry, w11, w25, pop_sizes, minimum))
+
+
+def large_ancestry_set_tests(
+    members: DataFrame, carriers: DataFrame, null: NullModel, ancestry: str, w11: np.ndarray, w25: np.ndarray,
+    pop_sizes: list[int], minimum: int = 2, tile: int = 512,
+) -> DataFrame:
+    """The ensemble for sets too large for one task.
+
+    A population weighting multiplies a sample's dosages by its population's weight, which
+    may depend on the set; the battery of every weighting is that of dosages so scaled.
+    """
+    from ..functions.prob import cauchy_combine
+    from ..functions.variant import beta_weight
+    from ..session import cut_lineage
+
+    keyed, sizes = _spread_masks(members, minimum)
+    pops, np_ = null.vectors.select("sample_idx", ancestry), len(pop_sizes)
+    counts = carriers.join(pops, "sample_idx").groupBy("variant_id").agg(*[
+        F.sum(F.when(F.col(ancestry) == p, F.col("dosage").cast("double")).otherwise(0.0)).alias(f"mac_{p}") for p in range(np_)])
+    own = keyed.drop("maf").join(counts, "variant_id", "left").fillna(0.0, subset=[f"mac_{p}" for p in range(np_)])
+    pooled = sum((F.col(f"mac_{p}") for p in range(np_)), F.lit(0.0)) / (2.0 * null.n)
+    # The same variant is scaled differently in every set, so pairs of both are the variants here.
+    own = own.withColumns({"maf": F.least(F.greatest(pooled, F.lit(1e-10)), F.lit(0.499)), "_v": F.concat_ws("\u0002", "set_id", F.col("variant_id").cast("string"))})
+    fold = [F.col(f"mac_{p}") / (2.0 * pop_sizes[p]) if pop_sizes[p] else F.lit(0.0) for p in range(np_)]
+    mean = own.groupBy("set_id").agg(*[F.avg(F.least(f, 1 - f)).alias(f"m_{p}") for p, f in enumerate(fold)])
+    scale = mean.select("set_id", F.array(*[F.coalesce(beta_weight(f"m_{p}", 1, 25), F.lit(0.0)) for p in range(np_)]).alias("_ap"))
+    dealt = own.select("set_id", "_v", "variant_id").join(carriers, "variant_id").join(pops, "sample_idx").join(scale, "set_id")
+    dealt = cut_lineage(dealt.select(F.col("_v").alias("variant_id"), "sample_idx", F.col("dosage").cast("double").alias("d"), ancestry, "_ap"))
+    named = cut_lineage(own.select("set_id", F.col("_v").alias("variant_id"), "maf", *W_COLS))
+    runs = None
+    for col in range(w11.shape[1]):
+        for table, by_set in ((w11, False), (w25, True)):
+            g = F.get(F.array(*[F.lit(float(x)) for x in table[:, col]]), F.col(ancestry))
+            g = g * F.get("_ap", F.col(ancestry)) if by_set else g
+            rows = _large_battery(named, sizes, dealt.select("variant_id", "sample_idx", (F.col("d") * g).alias("dosage")), null, tile)
+            rows = cut_lineage(rows)
+            runs = rows if runs is None else runs.unionByName(rows)
+    # A weighting without a row for a slot counts as 1 there.
+    n_runs = 2 * w11.shape[1]
+    found = runs.groupBy("set_id", "slot").agg(F.collect_list("p").alias("_p"))  # one entry a weighting
+    full = F.concat("_p", F.array_repeat(F.lit(1.0), F.lit(n_runs) - F.size("_p")))
+    one = found.select("set_id", "slot", F.explode(full).alias("p")).groupBy("set_id", "slot").agg(cauchy_combine(F.col("p")).alias("p"))
+    return _by_mask(one, sizes)
+
+
+def dense_ancestry_set_tests(
+    members: DataFrame, carriers: DataFrame, null: NullModel, ancestry: str, w11: np.ndarray, w25: np.ndarray,
+    pop_sizes: list[int], minimum: int = 2,
+) -> DataFrame:
+    ranked = gram.rank_members(members)
     pops = null.vectors.select("sample_idx", "w", ancestry)
     cells = gram.pair_products(ranked, carriers, pops, stratum=ancestry)
     hs, inv, n, s2 = h_cols(null), null.cov_inv, null.n, null.sigma2

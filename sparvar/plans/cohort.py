@@ -93,6 +93,10 @@ class Cohort:
             F.struct(*[phred(3 + i).alias(n) for i, n in enumerate(apc_names)]).alias("apc"),
         )
 
+    @cached_property
+    def membership_fine(self) -> DataFrame:
+        return self._by_flag(self.membership, True)
+
     @cached_property
     def membership(self) -> DataFrame:
         """(variant_id, gene_name); every tenth variant also sits in a second gene."""
@@ -130,10 +134,17 @@ class Cohort:
 
     # ------------------------------------------------------------- genotypes
 
-    def _carriers(self, thin: bool) -> DataFrame:
-        lines = self.table("lineitem").select("l_orderkey", "l_partkey")
-        if thin:
-            lines = lines.filter(F.col("l_orderkey") % 3 == 0)
+    def _by_flag(self, rows: DataFrame, fine: bool) -> DataFrame:
+        """Rows of parts as rows of their three finer variants."""
+        if not fine:
+            return rows
+        return rows.withColumn("variant_id", F.explode(F.array(*[F.col("variant_id") * 3 + k for k in range(3)])))
+
+    def _carriers(self, fine: bool) -> DataFrame:
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
+        if fine:
+            flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+            lines = lines.withColumn("l_partkey", F.col("l_partkey") * 3 + flag)
         orders = self.table("orders").select("o_orderkey", "o_custkey")
         return (
             lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -143,29 +154,30 @@ class Cohort:
 
     @cached_property
     def carriers(self) -> DataFrame:
-        return self._carriers(thin=False)
+        return self._carriers(fine=False)
 
     @cached_property
-    def carriers_thin(self) -> DataFrame:
-        """About ten allele copies per variant, so both sides of the count-10 rule occur."""
-        return self._carriers(thin=True)
+    def carriers_fine(self) -> DataFrame:
+        """All lines, a variant for every part and return flag: about ten allele copies each,
+        so both sides of the count-10 rule occur."""
+        return self._carriers(fine=True)
 
     @cached_property
     def n_samples(self) -> int:
         return self.samples.count()
 
-    def frequencies(self, thin: bool = False) -> DataFrame:
-        return allele_frequencies(self.carriers_thin if thin else self.carriers, self.n_samples)
+    def frequencies(self, fine: bool = False) -> DataFrame:
+        return allele_frequencies(self.carriers_fine if fine else self.carriers, self.n_samples)
 
-    def variant_index(self, thin: bool = False) -> DataFrame:
+    def variant_index(self, fine: bool = False) -> DataFrame:
         """Variants with frequency, annotation and channel weights (w0..w10)."""
         from ..operators.annotate import extract_annotation, with_weights
 
         ann = with_weights(extract_annotation(self.annotation_raw, keep=["variant_id", "chromosome", "position", "ref_vcf", "alt_vcf"]))
-        return ann.withColumnsRenamed({"ref_vcf": "ref", "alt_vcf": "alt"}).join(self.frequencies(thin), "variant_id")
+        return self._by_flag(ann, fine).withColumnsRenamed({"ref_vcf": "ref", "alt_vcf": "alt"}).join(self.frequencies(fine), "variant_id")
 
-    def rare_index(self, thin: bool = False) -> DataFrame:
-        return self.variant_index(thin).filter(F.col("ac") <= RARE_MAX_COUNT)
+    def rare_index(self, fine: bool = False) -> DataFrame:
+        return self.variant_index(fine).filter(F.col("ac") <= RARE_MAX_COUNT)
 
     # ------------------------------------------------------------ relatedness
 

@@ -32,17 +32,18 @@ CTES["carriers"] = """
 SELECT l_partkey AS variant_id, o_custkey AS sample_idx, CAST(least(count(*), 2) AS INTEGER) AS dosage
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""
 
-CTES["carriers_thin"] = """
-SELECT l_partkey AS variant_id, o_custkey AS sample_idx, CAST(least(count(*), 2) AS INTEGER) AS dosage
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 0 GROUP BY 1, 2"""
+CTES["carriers_fine"] = """
+SELECT l_partkey*3 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS variant_id, o_custkey AS sample_idx, CAST(least(count(*), 2) AS INTEGER) AS dosage
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""
+CTES["annot_fine"] = "SELECT * REPLACE (variant_id*3 + k AS variant_id) FROM annot CROSS JOIN (SELECT unnest(range(3)) AS k)"
 
-for _name in ("", "_thin"):
+for _name in ("", "_fine"):
     CTES["freq" + _name] = f"""
 SELECT variant_id, CAST(sum(dosage) AS BIGINT) AS ac, sum(dosage)/(2.0*n) AS af,
   least(sum(dosage)/(2.0*n), 1.0 - sum(dosage)/(2.0*n)) AS maf
 FROM carriers{_name} CROSS JOIN (SELECT count(*) AS n FROM customer) GROUP BY variant_id, n"""
     CTES["vindex" + _name] = f"""
-SELECT * FROM annot JOIN freq{_name} USING (variant_id)"""
+SELECT * FROM annot{_name} JOIN freq{_name} USING (variant_id)"""
     CTES["rare" + _name] = f"SELECT * FROM vindex{_name} WHERE ac <= 35"
 
 CTES["annot"] = f"""
@@ -145,7 +146,7 @@ SELECT *, gg - {quad()} AS k FROM (
 
 
 CTES["vscore"] = _scores("carriers", "nm", "cv")
-CTES["vscore_thin"] = _scores("carriers_thin", "nm", "cv")
+CTES["vscore_fine"] = _scores("carriers_fine", "nm", "cv")
 CTES["lscore"] = _scores("carriers", "lnm", "lcv")
 
 

@@ -44,13 +44,13 @@ def a12(c: Cohort) -> DataFrame:
 
 
 CTES["gm"] = "SELECT m.gene_name AS set_id, rare.* EXCLUDE (gene_name) FROM rare JOIN membership m USING (variant_id)"
-CTES["gm_thin"] = "SELECT m.gene_name AS set_id, rare_thin.* EXCLUDE (gene_name) FROM rare_thin JOIN membership m USING (variant_id)"
+CTES["gm_fine"] = "SELECT m.gene_name AS set_id, rare_fine.* EXCLUDE (gene_name) FROM rare_fine JOIN membership m ON m.variant_id = rare_fine.variant_id // 3"
 
 
-def genes(c: Cohort, thin: bool = False, masks: bool = False) -> DataFrame:
+def genes(c: Cohort, fine: bool = False, masks: bool = False) -> DataFrame:
     from ..operators.settests import gene_members
 
-    return gene_members(c.rare_index(thin), c.membership, masks)
+    return gene_members(c.rare_index(fine), c.membership_fine if fine else c.membership, masks)
 
 
 @query("A13_T26_pair_products", sql("gm carriers", """
@@ -218,22 +218,22 @@ _RW = {"b25": f"({beta25()})", "b11": "1.0", "b25w3": f"({beta25()})*w3"}
 _AC = {"b25": f"({beta25()})*({beta25()})", "b11": "1.0", "b25w3": f"({beta25()})*({beta25()})*w3"}
 
 
-@query("T08_acat_v", sql("vscore_thin", f"""
+@query("T08_acat_v", sql("vscore_fine", f"""
 SELECT set_id, weight, round({cauchy('p', 'cw')}, 7) AS p FROM (
-  SELECT set_id, weight, {chi2_1('u*u/(s2*k)')} AS p, wa AS cw FROM wl JOIN vscore_thin USING (variant_id) WHERE common AND k > 0 AND wa > 0
+  SELECT set_id, weight, {chi2_1('u*u/(s2*k)')} AS p, wa AS cw FROM wl JOIN vscore_fine USING (variant_id) WHERE common AND k > 0 AND wa > 0
   UNION ALL
   SELECT b.set_id, b.weight, {chi2_1('wu*wu/(s2*wkw)')} AS p, cw FROM bstat b JOIN
     (SELECT set_id, weight, avg(wa) AS cw FROM wl WHERE NOT common AND wa > 0 GROUP BY 1, 2) q USING (set_id, weight) WHERE wkw > 0
 ) GROUP BY 1, 2""",
-    gt="SELECT *, round(2*maf*(SELECT count(*) FROM customer)) > 10 AS common FROM gm_thin",
+    gt="SELECT *, round(2*maf*(SELECT count(*) FROM customer)) > 10 AS common FROM gm_fine",
     gr="SELECT * FROM gt WHERE NOT common",
     wl=" UNION ALL ".join(f"SELECT set_id, variant_id, common, '{k}' AS weight, ({v})*pi()*pi()*maf*(1-maf) AS wa FROM gt" for k, v in _AC.items()),
-    **_burden_sql(_RW, gm="gr", car="carriers_thin")))
+    **_burden_sql(_RW, gm="gr", car="carriers_fine")))
 def t08(c: Cohort) -> DataFrame:
-    """ACAT-V over thinned genotypes: common variants singly, rare ones pooled."""
+    """ACAT-V over fine genotypes: common variants singly, rare ones pooled."""
     from ..operators import settests as ST
 
-    r = ST.set_tests(genes(c, thin=True), c.carriers_thin, gaussian(c))
+    r = ST.set_tests(genes(c, fine=True), c.carriers_fine, gaussian(c))
     p = F.col("p")
     return r.select("set_id", F.explode(F.array(
         F.struct(F.lit("b25").alias("weight"), rnd(p[4], 7, "p")), F.struct(F.lit("b11").alias("weight"), rnd(p[5], 7, "p")),
@@ -409,7 +409,7 @@ def t16(c: Cohort) -> DataFrame:
 
     sizes = populations(c)
     w11, w25 = ST.ensemble_weights(len(sizes), 2, 7)
-    r = ST.ancestry_set_tests(genes(c, thin=True), c.carriers_thin, gaussian(c, ["ancestry"]), "ancestry", w11, w25, sizes)
+    r = ST.ancestry_set_tests(genes(c, fine=True), c.carriers_fine, gaussian(c, ["ancestry"]), "ancestry", w11, w25, sizes)
     return ST.with_omnibus(r).select("set_id", "n_variants", *[rnd(F.col("p")[i], 7, f"p{i}") for i in range(6)], rnd("STAAR-O", 7, "staar_o"))
 
 
@@ -477,7 +477,7 @@ def t20(c: Cohort) -> DataFrame:
 def t22(c: Cohort) -> DataFrame:
     from ..operators import settests as ST
 
-    r = ST.with_omnibus(ST.multi_set_tests(genes(c, thin=True), c.carriers_thin, multi(c)))
+    r = ST.with_omnibus(ST.multi_set_tests(genes(c, fine=True), c.carriers_fine, multi(c)))
     return r.select("set_id", "n_variants", *[rnd(F.col("p")[i], 7, f"p{i}") for i in range(2, 6)], rnd("STAAR-O", 7, "staar_o"))
 
 
