@@ -232,6 +232,12 @@ def _dense(c: pd.DataFrame, m: int) -> np.ndarray:
 VALUE_COLS = ["set_id", "j", "position", "maf", "mac_total", "n_total", "u_meta", "masks", *W_COLS]
 
 
+def _with_cells(v: DataFrame, cells: DataFrame, test) -> DataFrame:
+    # Both sides descend from the members, so the cells' key needs a name of its own.
+    keyed = cells.select(F.col("set_id").alias("k_set"), *[c for c in cells.columns if c != "set_id"])
+    return v.groupBy("set_id").cogroup(keyed.groupBy("k_set")).applyInPandas(test, RESULT)
+
+
 def meta_tests(members: DataFrame, segments: DataFrame, minimum: int = 2) -> DataFrame:
     """Pooled battery and burden effect per gene x mask."""
 
@@ -245,7 +251,7 @@ def meta_tests(members: DataFrame, segments: DataFrame, minimum: int = 2) -> Dat
         rows = [_row(key[0], mask, v.iloc[i], u[i], k[np.ix_(i, i)]) for mask, i in _slices(v, minimum)]
         return pd.DataFrame(rows, columns=COLUMNS)
 
-    return v.groupBy("set_id").cogroup(cells.groupBy("set_id")).applyInPandas(test, RESULT)
+    return _with_cells(v, cells, test)
 
 
 def _schur(u: np.ndarray, k: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +308,7 @@ def conditional_tests(members: DataFrame, segments: DataFrame, per_study: bool =
             rows.append(_row(key[0], mask, v.iloc[i], sum(d[0] for d in done), sum(d[1] for d in done)))
         return pd.DataFrame(rows, columns=COLUMNS)
 
-    return v.groupBy("set_id").cogroup(cells.groupBy("set_id")).applyInPandas(test, RESULT)
+    return _with_cells(v, cells, test)
 
 
 def burden_effect(members: DataFrame, segments: DataFrame) -> DataFrame:

@@ -45,3 +45,4 @@ def load_all() -> None:
     from . import queries_score  # noqa: F401
     from . import queries_more  # noqa: F401
     from . import queries_mixed  # noqa: F401
+    from . import queries_meta  # noqa: F401
