@@ -11,7 +11,7 @@ from ..operators import score as S
 from .cohort import Cohort
 from .oracle import CTES, sql
 from .queries_score import gaussian
-from .registry import query, rnd
+from .registry import ORACLES, query, rnd
 
 # Both studies use the residuals of the common null; study 1 names every fourth site's alleles the other way round.
 CTES["study_sums"] = """
@@ -133,3 +133,46 @@ def g06(c: Cohort) -> DataFrame:
     stats = R.subset_frequencies(c.carriers, c.samples, c.n_samples)
     x = stats.select("variant_id", ((F.col("variant_id") % 5) - 2.0).alias("x0"))
     return R.to_sample_space(c.carriers, stats, x, c.samples, 1).select("sample_idx", rnd("h0", 6))
+
+
+# ------------------------------------------------------------------------ sinks
+
+
+@query("S22_kinship_table", sql("samples", """
+WITH k AS (SELECT a.sample_id AS ID1, b.sample_id AS ID2, ((a.sample_idx + b.sample_idx) % 11)/22.0 AS kinship
+  FROM samples a JOIN samples b ON a.sample_idx // 3 = b.sample_idx // 3 AND a.sample_idx < b.sample_idx)
+SELECT ID1, ID2, printf('%.6f', CAST(kinship AS DOUBLE)) AS Kinship FROM k"""))
+def s22(c: Cohort) -> DataFrame:
+    """The written kinship table, read back as text."""
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    path = scratch_path(c.spark, "kinship")
+    sinks.write_kinship(c.kin_pairs.select("i", "j", ((F.col("i") + F.col("j")) % 11 / 22.0).alias("kinship")), c.samples, path)
+    return c.spark.read.csv(path, sep="\t", header=True)
+
+
+@query("S22_component_scores", sql("carriers samples", """
+SELECT sample_id, printf('%.6f', CAST(coalesce(d, 0) AS DOUBLE)/3) AS PC1, printf('%.6f', CAST(sample_idx % 7 AS DOUBLE)/7 - 0.25) AS PC2
+FROM samples LEFT JOIN (SELECT sample_idx, sum(dosage) AS d FROM carriers GROUP BY 1) USING (sample_idx)"""))
+def s22_scores(c: Cohort) -> DataFrame:
+    """Two score columns of every sample (its burden and a pattern), written and read back as text."""
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    burden = c.carriers.groupBy("sample_idx").agg(F.sum("dosage").alias("d"))
+    scores = c.samples.select("sample_idx").join(burden, "sample_idx", "left").select(
+        "sample_idx", (F.coalesce("d", F.lit(0)) / 3).alias("a"), (F.col("sample_idx") % 7 / 7.0 - 0.25).alias("b"))
+    path = scratch_path(c.spark, "scores")
+    sinks.write_component_scores(scores, ["a", "b"], c.samples, path)
+    return c.spark.read.csv(path, sep="\t", header=True)
+
+
+@query("S22_unrelated_list", ORACLES["G04_unrelated_subset"].replace("SELECT sample_idx FROM samples WHERE sample_idx NOT IN", "SELECT sample_id FROM samples WHERE sample_idx NOT IN"))
+def s22_unrelated(c: Cohort) -> DataFrame:
+    from ..session import scratch_path
+    from ..sources import sinks
+
+    path = scratch_path(c.spark, "unrelated")
+    sinks.write_unrelated(g04(c), c.samples, path)
+    return c.spark.read.text(path).withColumnRenamed("value", "sample_id")

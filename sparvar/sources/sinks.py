@@ -72,3 +72,25 @@ def log10p_text(c: Column | str) -> Column:
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+
+
+# ---------------------------------------------------------------- relatedness
+
+
+def write_kinship(kin: DataFrame, samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``ID1 ID2 Kinship`` rows of (i, j, kinship), named by ``samples`` (sample_idx, sample_id)."""
+    a = samples.select(F.col("sample_idx").alias("i"), F.col("sample_id").alias("ID1"))
+    b = samples.select(F.col("sample_idx").alias("j"), F.col("sample_id").alias("ID2"))
+    write_tsv(kin.join(a, "i").join(b, "j").select("ID1", "ID2", fixed6("kinship").alias("Kinship")), path, mode)
+
+
+def write_component_scores(scores: DataFrame, columns: list[str], samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``sample_id PC1 PC2 ..`` rows, one a sample of ``scores`` (sample_idx and ``columns`` in their order)."""
+    named = scores.join(samples.select("sample_idx", "sample_id"), "sample_idx")
+    write_tsv(named.select("sample_id", *[fixed6(c).alias(f"PC{k + 1}") for k, c in enumerate(columns)]), path, mode)
+
+
+def write_unrelated(chosen: DataFrame, samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A sample id a line, without header, in order of the sample index."""
+    ids = chosen.select("sample_idx").join(samples.select("sample_idx", "sample_id"), "sample_idx")
+    ids.repartitionByRange("sample_idx").sortWithinPartitions("sample_idx").select("sample_id").write.mode(mode).text(path)
