@@ -510,7 +510,8 @@ def r03b(c: Cohort) -> DataFrame:
     return r.select("set_id", "n_variants", rnd("ACAT-O", 7, "acat_o"), rnd("STAAR-O", 7, "staar_o"))
 
 
-SCAN_LENGTHS = [8, 16]
+#: Window lengths in variants, shortest to longest.
+SCAN_LENGTHS = list(range(40, 301, 10))
 
 
 @query("R05_pseudo_residuals")
@@ -529,19 +530,26 @@ def r06(c: Cohort) -> DataFrame:
     from ..operators import masks as M
     from ..operators import scan
 
-    mx = scan.simulated_maxima(M.scan_ranks(c.rare_index()), c.carriers, gaussian(c), SCAN_LENGTHS, draws=64, width=64)
+    mx = scan.simulated_maxima(M.scan_ranks(c.rare_index()), c.carriers, gaussian(c), SCAN_LENGTHS)
     return scan.empirical_threshold(mx).select("chromosome", rnd("emthr", 8))
 
 
 @query("F28_R04_scan_tests")
 def f28(c: Cohort) -> DataFrame:
-    """Scan windows tested by block; windows below the significance floor drop out."""
+    """Windows of all lengths against the simulated threshold of their chromosome: how many there
+    are, the strongest one, and how many are kept."""
     from ..operators import masks as M
     from ..operators import scan
     from ..operators import settests as ST
-
-    tested = ST.with_omnibus(scan.scan_tests(M.scan_ranks(c.rare_index()), c.carriers, gaussian(c), [16], width=64))
-    return scan.keep_windows(tested, None, keep_p=0.2).select("chromosome", "start_rank", "n_variants", rnd("STAAR-O", 7, "staar_o"), rnd("emthr", 7))
+    from ..session import cut_lineage
+
+    null, ranked = gaussian(c), M.scan_ranks(c.rare_index())
+    limits = cut_lineage(scan.empirical_threshold(scan.simulated_maxima(ranked, c.carriers, null, SCAN_LENGTHS)))
+    tested = cut_lineage(ST.with_omnibus(scan.scan_tests(ranked, c.carriers, null, SCAN_LENGTHS, width=64)))
+    kept = scan.keep_windows(tested, limits).groupBy("chromosome").agg(F.count("*").alias("n_kept"))
+    top = tested.groupBy("chromosome").agg(F.count("*").alias("n_windows"), F.max(-F.log10("STAAR-O")).alias("top"))
+    out = top.join(kept, "chromosome", "left").join(limits, "chromosome", "left")
+    return out.select("chromosome", "n_windows", rnd("top", 6), F.coalesce("n_kept", F.lit(0)).alias("n_kept"), rnd("emthr", 6))
 
 
 # --------------------------------------------------------------------- selection
