@@ -10,7 +10,7 @@ gives the tokens that hang over from it.  The scan runs first within groups of
 all tokens is not one task's work.
 
 ``write_flat`` makes such a file set from texts, as a table of blocks (file, block,
-tokens) in the folder given; ``read_bins`` cuts raw files into the same blocks.
+tokens) in the folder given; ``read_bins`` reads raw files as the same blocks, by byte ranges.
 
 Defined results: a null or empty text is a document of no tokens; a tail without a
 separator is an open document, reported with ``closed`` false; an empty file has no rows.
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .dac import _place
 
 BLOCK_TOKENS = 1 << 16
 GROUP_BLOCKS = 256
@@ -113,23 +114,34 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: str, separator: int, id_
     rows.mapInArrow(_write(tokenizer, separator, block_tokens), _BLOCKS).write.option("compression", "zstd").parquet(folder)
 
 
-def _cut(item: int, block_tokens: int):
+def _cut(item: int, block_tokens: int, run_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = item * block_tokens
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data, step = content.as_buffer(), item * block_tokens
-                if data.size % item:
-                    raise ValueError(f"{path}: {data.size} bytes are no whole number of ids")
-                for k in range(0, data.size, step):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k // step], pa.int64()), pa.array([data.slice(k, min(step, data.size - k)).to_pybytes()], pa.binary())], names=["file", "block", "tokens"])
+            for path, at, length in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "length")), strict=True):
+                if length % item:
+                    raise ValueError(f"{path}: {length} bytes are no whole number of ids")
+                place, name = _place(path)
+                with place.open_input_file(name) as f:
+                    for k in range(at, min(at + run_bytes, length), step):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k // step], pa.int64()), pa.array([f.read_at(min(step, length - k), k)], pa.binary())], names=["file", "block", "tokens"])
 
     return run
 
 
-def read_bins(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of raw token files; a file must be smaller than 2 GB, as Spark reads it as one value."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_cut(np.dtype(dtype).itemsize, block_tokens), "file string, block long, tokens binary")
+def read_bins(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS, run_blocks: int = 256) -> DataFrame:
+    """Blocks of raw token files of any size.
+
+    Files are listed with their lengths only and dealt out in runs of ``run_blocks`` blocks;
+    a task reads the bytes of its runs, so one large file spreads over tasks.  An empty file
+    has no blocks.
+    """
+    item = np.dtype(dtype).itemsize
+    step = item * block_tokens * run_blocks
+    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    total = files.agg(F.sum(F.ceil(F.col("length") / step)).alias("n")).first()["n"] or 1
+    runs = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("at"))
+    return runs.repartition(min(total, 20_000)).mapInArrow(_cut(item, block_tokens, step), "file string, block long, tokens binary")
 
 
 def _search(separator: int, dtype: str):

@@ -24,7 +24,7 @@ def test_stitches_raw_files(spark, tmp_path, block, monkeypatch):
         ids = np.where(rng.random(n) < p, 9, rng.integers(10, 60000, n)).astype("<u2")
         ids.tofile(tmp_path / f"{k}.bin")
         want += [(k, *x) for x in brute(ids.tolist(), 9)]
-    got = separators.count_tokens(separators.read_bins(spark, str(tmp_path), block_tokens=block), 9).collect()
+    got = separators.count_tokens(separators.read_bins(spark, str(tmp_path), block_tokens=block, run_blocks=5), 9).collect()
     rows = sorted(got, key=lambda r: (r.file, r.block, 1 << 30 if r.nth is None else r.nth))
     assert [(int(r.file[-5]), r.n_tokens, r.closed) for r in rows] == want
 
@@ -42,3 +42,9 @@ def test_texts_to_counts(spark, make, tmp_path, sf):
         assert sorted(((r.doc, r.n_tokens) for r in got), key=str) == want and all(r.closed for r in got)
     separators.write_flat(make([]), str(tmp_path / "e"), path, queries.SEPARATOR)
     assert separators.count_tokens(spark.read.parquet(str(tmp_path / "e")), queries.SEPARATOR).count() == 0
+
+
+def test_half_an_id_is_an_error(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number"):
+        separators.read_bins(spark, str(tmp_path)).collect()
