@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -54,58 +54,102 @@ def connected_components(pairs: DataFrame, check_every: int = 1) -> DataFrame:
 
 
 def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, samples: DataFrame,
-               max_variants: int | None = None, cutoff: float = DIVERGENCE_CUTOFF) -> DataFrame:
-    """Per related sample, how many others look ancestrally divergent.
-
-    All variants count; ``max_variants`` asks for a strided subset.  For a pair,
-    ``homopp = hom_i + hom_j - 2[both hom] - [hom,het] - [het,hom]`` where absent
-    carriers are reference homozygotes.  Pairs are counted by block: a task
-    multiplies one block of related samples with one block of all samples and
-    returns counts per sample, never the pairs.
+               max_variants: int | None = None, cutoff: float = DIVERGENCE_CUTOFF, width: int = 16_384,
+               rows: int = 512, columns: int = 1024) -> DataFrame:
+    """(sample_idx, divergence): per related sample, how many others look ancestrally divergent.
+
+    All variants count; ``max_variants`` asks for a strided subset.  A pair is far when
+    ``(hethet - 2 homopp) / (het_i + het_j) < cutoff``.  Absent carriers are reference
+    homozygotes, so with q the sum of dosage products ``hethet - 2 homopp = q - 2 (hom_i + hom_j)``:
+    counts a sample and one blocked product decide all pairs.  The product is cut in three
+    ways (related samples, samples, ``width`` variants); a task holds one block of each kind and
+    returns one packed row of sums a related sample.  Partial sums are added a (slice of
+    64 related samples, block of samples), where the cutoff is applied.  Pairs are never rows.
     """
     from .cohort import ordered_rank
 
-    total = variants.count()
-    max_variants = total if max_variants is None else max_variants
-    step = max(1, total // max(1, max_variants))
+    people = samples.select("sample_idx").distinct()
+    number = F.expr("try_cast(chromosome AS INT)")  # numbered chromosomes first, then the others by name
+    rank = F.struct(F.coalesce(number, F.lit(1000)).alias("n"), "chromosome")
     order = ordered_rank(
-        variants.withColumn("_all", F.lit(0)), ["_all"],
-        F.col("chromosome_rank") * 1_000_000 + F.floor(F.col("position") / 4096), ["chromosome_rank", "position", "ref", "alt"], "_ord")
-    use = order.filter((F.col("_ord") % step == 0) & (F.col("_ord") < step * max_variants)).select("variant_id")
-    numbered = use.join(order.select("variant_id", F.floor(F.col("_ord") / step).cast("int").alias("v")), "variant_id")
-    rows = carriers.join(numbered, "variant_id").groupBy("sample_idx").agg(
-        F.collect_list(F.struct("v", F.col("dosage").cast("int").alias("d"))).alias("g"))  # at most max_variants entries
-    rows = samples.select("sample_idx").join(rows, "sample_idx", "left")
-    mine = rows.join(related.select("sample_idx").distinct(), "sample_idx", "left_semi")
-    n_mine, n_all = mine.count(), rows.count()
-    na, nb = max(1, -(-n_mine // 512)), max(1, -(-n_all // 1024))
+        variants.select("variant_id", "position", "ref", "alt", rank.alias("_chr")).withColumn("_all", F.lit(0)), ["_all"],
+        F.struct("_chr", F.floor(F.col("position") / 4096)), ["_chr", "position", "ref", "alt", "variant_id"], "_ord")
+    if max_variants is not None:
+        step = max(1, variants.count() // max(1, max_variants))
+        order = order.filter((F.col("_ord") % step == 0) & (F.col("_ord") < step * max_variants)).withColumn("_ord", F.floor(F.col("_ord") / step))
+    calls = carriers.filter(F.col("dosage").isin(1, 2)).select("variant_id", "sample_idx", F.col("dosage").cast("int").alias("d"))
+    calls = calls.join(order.select("variant_id", F.col("_ord").alias("v")), "variant_id").join(people, "sample_idx", "left_semi")
+    # At most ``width`` codes a row; the code holds the place within the block and the dosage.
+    packed = cut_lineage(calls.groupBy("sample_idx", F.floor(F.col("v") / width).cast("int").alias("vb")).agg(
+        F.collect_list(((F.col("v") % width) * 4 + F.col("d")).cast("int")).alias("g"),
+        F.count_if(F.col("d") == 1).alias("het"), F.count_if(F.col("d") == 2).alias("hom")))
+    n_all, mine = people.count(), related.select("sample_idx").distinct().join(people, "sample_idx", "left_semi")
+    n_mine = mine.count()
+    nb, na, ns = (max(1, -(-n // size)) for n, size in ((n_all, columns), (n_mine, rows), (n_mine, 64)))
     h = F.xxhash64("sample_idx")
-    left = mine.withColumn("a", F.pmod(h, F.lit(na)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = rows.withColumn("b", F.pmod(h, F.lit(nb)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
-    width = max_variants + 1
-
-    def dense(pdf: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-        het, hom = np.zeros((len(pdf), n), np.float32), np.zeros((len(pdf), n), np.float32)
-        for i, entries in enumerate(pdf["g"]):
-            if entries is not None:
-                for e in entries:
-                    (het if e["d"] == 1 else hom)[i, e["v"]] = 1.0
-        return het, hom
-
-    def count(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+
+    def deal(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    slot = F.row_number().over(Window.partitionBy("b").orderBy("sample_idx")) - 1  # about ``columns`` rows a block
+    sums = packed.groupBy("sample_idx").agg(F.sum("het").alias("het"), F.sum("hom").alias("hom"))
+    people = people.join(sums, "sample_idx", "left").fillna(0).withColumn("b", F.pmod(h, F.lit(nb)).cast("int"))
+    people = cut_lineage(people.withColumn("slot", slot))
+    left = packed.join(mine, "sample_idx").select("sample_idx", "vb", "g", F.pmod(h, F.lit(na)).cast("int").alias("a")).withColumn("b", deal(nb))
+    right = packed.join(people.select("sample_idx", "b", "slot"), "sample_idx").select(
+        "slot", F.col("vb").alias("of_vb"), F.col("g").alias("of_g"), F.col("b").alias("of_b")).withColumn("of_a", deal(na))
+
+    def multiply(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        b = key[1]
+        if x.empty or y.empty:
+            return pd.DataFrame({"sample_idx": np.zeros(0, np.int64), "b": np.zeros(0, np.int32), "q": np.zeros(0, object)})
+        flat = []
+        for rows_at, lists in ((np.arange(len(x)), x["g"]), (y["slot"].to_numpy(np.int64), y["of_g"])):
+            code = np.concatenate(lists.to_numpy()).astype(np.int64)
+            at = np.repeat(rows_at, lists.map(len).to_numpy())
+            flat.append((at, code >> 2, (code & 3).astype(np.float32)))
+        total = np.zeros((len(x), int(y["slot"].max()) + 1), np.int32)
+        part = 2048
+        for low in range(0, width, part):
+            dense = []
+            for (at, v, d), n in zip(flat, total.shape, strict=True):
+                inside = (v >= low) & (v < low + part)
+                m = np.zeros((n, part), np.float32)
+                m[at[inside], v[inside] - low] = d[inside]
+                dense.append(m)
+            if dense[0].any() and dense[1].any():
+                total += (dense[0] @ dense[1].T).astype(np.int32)
+        some = np.flatnonzero(total.any(1))
+        return pd.DataFrame({"sample_idx": x["sample_idx"].to_numpy()[some], "b": np.full(len(some), b, np.int32),
+                             "q": pd.Series([total[r].tobytes() for r in some], dtype=object)})
+
+    products = left.groupBy("a", "b", "vb").cogroup(right.groupBy("of_a", "of_b", "of_vb")).applyInPandas(multiply, "sample_idx long, b int, q binary")
+    own = mine.join(people.select("sample_idx", "het", "hom"), "sample_idx").withColumn("b", deal(nb))
+    empty = F.lit(None)
+    asked = own.select("sample_idx", "b", "het", "hom", empty.cast("binary").alias("q")).unionByName(
+        products.select("sample_idx", "b", empty.cast("long").alias("het"), empty.cast("long").alias("hom"), "q"))
+    asked = asked.withColumn("s", F.pmod(h, F.lit(ns)).cast("int"))
+    members = F.sort_array(F.collect_list(F.struct("slot", "sample_idx", "het", "hom")))
+    block = people.groupBy("b").agg(members.alias("m")).select(
+        "b", *[F.col(f"m.{c}").alias(c) for c in ("sample_idx", "het", "hom")]).withColumn("s", deal(ns))
+
+    def decide(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"sample_idx": np.zeros(0, np.int64), "divergence": np.zeros(0, np.int64)})
-        n = min(width, total)
-        xh, xo = dense(x, n)
-        yh, yo = dense(y, n)
-        opposite = xo.sum(1)[:, None] + yo.sum(1)[None, :] - xo @ (yh + yo).T - (xh + xo) @ yo.T
-        den = xh.sum(1)[:, None] + yh.sum(1)[None, :]
+        ids, het, hom = (np.asarray(y[c].iloc[0], np.int64) for c in ("sample_idx", "het", "hom"))
+        base = x[x["q"].isna()]
+        where = pd.Series(np.arange(len(base)), index=base["sample_idx"].to_numpy())
+        q = np.zeros((len(base), len(ids)), np.int64)
+        for i, raw in x.loc[x["q"].notna(), ["sample_idx", "q"]].itertuples(index=False):
+            row = np.frombuffer(raw, np.int32)
+            q[where[i], : len(row)] += row
+        mine_id, mine_het, mine_hom = (base[c].to_numpy().astype(np.int64)[:, None] for c in ("sample_idx", "het", "hom"))
+        den = mine_het + het
         with np.errstate(divide="ignore", invalid="ignore"):
-            far = (den > 0) & ((xh @ yh.T - 2 * opposite) / den < cutoff)
-        far &= x["sample_idx"].to_numpy()[:, None] != y["sample_idx"].to_numpy()[None, :]
-        return pd.DataFrame({"sample_idx": x["sample_idx"], "divergence": far.sum(1)})
+            far = (den > 0) & ((q - 2 * (mine_hom + hom)) / den < cutoff) & (mine_id != ids)
+        return pd.DataFrame({"sample_idx": mine_id[:, 0], "divergence": far.sum(1)})
 
-    part = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(count, "sample_idx long, divergence long")
+    part = asked.groupBy("b", "s").cogroup(block.groupBy("b", "s")).applyInPandas(decide, "sample_idx long, divergence long")
     return part.groupBy("sample_idx").agg(F.sum("divergence").alias("divergence"))
 
 
@@ -277,12 +321,12 @@ def ancestry_regression(carriers: DataFrame, pcs: DataFrame, unrelated: DataFram
 
 
 def pair_kinship(pairs: DataFrame, carriers: DataFrame, variants: DataFrame, pcs: DataFrame, beta: DataFrame, pc_cols: list[str],
-                 blocks: int = 32) -> DataFrame:
+                 block_variants: int = 20_000) -> DataFrame:
     """Ancestry-adjusted kinship of candidate pairs (and i = j self pairs).
 
     Numerator and denominator run over every variant, also uncarried ones.
     Expected dosages depend on the sample's PCs and the variant's coefficients,
-    so each (variant block, pair) is visited; work is split over both and summed.
+    so each (block of about ``block_variants``, pair) is visited; work is split over both and summed.
     Dosages enter through carriers only: with mu the expected dosage,
     ``sum (d_i-mu_i)(d_j-mu_j) = sum mu_i mu_j - sum_carr d_i mu_j - ... + sum d_i d_j``.
     """
@@ -293,6 +337,7 @@ def pair_kinship(pairs: DataFrame, carriers: DataFrame, variants: DataFrame, pcs
     x = pcs.join(ends, "sample_idx", "left_semi").select("sample_idx", F.array(F.lit(1.0), *pc_cols).alias("x"))
     from .kinblocks import expected_sums
 
+    blocks = max(1, -(-variants.count() // block_variants))
     base = expected_sums(pairs, x, full.select("variant_id", F.array(*bs).alias("b")), ISAF_MIN, ISAF_MAX, blocks)
 
     def expected(xcol: str):
@@ -336,7 +381,11 @@ def refine_threshold(kin: DataFrame, threshold: float, limit: int | None = None)
         if limit is None or top <= limit:
             return threshold, comp, raised
         raised = True
+        # Steps that drop no pair leave the components as they are.
+        least = active.agg(F.min("kinship").alias("k")).first()["k"]
         threshold *= 2.0 ** 0.01
+        while threshold < least:
+            threshold *= 2.0 ** 0.01
         active = cut_lineage(active.filter(F.col("kinship") > threshold))
 
 

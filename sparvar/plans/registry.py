@@ -44,5 +44,6 @@ def load_all() -> None:
     from . import queries_table  # noqa: F401  (defines shared CTEs, so it comes first)
     from . import queries_score  # noqa: F401
     from . import queries_more  # noqa: F401
+    from . import queries_relate  # noqa: F401
     from . import queries_mixed  # noqa: F401
     from . import queries_meta  # noqa: F401
