@@ -2,8 +2,9 @@
 
 Benchmark texts are cut into windows of 13 words; an item of fewer words is one window.
 The distinct windows are sent to the executors in sets of at most ``set_limit`` windows
-(the proven bound of each broadcast); a larger benchmark takes several scans, chained
-without a shuffle, and each adds its hits to those before.  A scan looks up rolling
+(the proven bound of each broadcast); a larger benchmark takes several scans without a
+shuffle, each adding its hits to those before.  Between scans the rows are written to the
+shared folder and the set is given up, so a task holds one set whatever the benchmark's size.  A scan looks up rolling
 hashes of document windows and compares the words of every hash hit, so no hash
 collision counts.
 
@@ -125,6 +126,9 @@ def find_contamination(
         shared = spark.sparkContext.broadcast(GramSet([(bytes(r.gram), r.items) for r in own.toLocalIterator()]))
         step = out.drop("n_words").mapInArrow(_scan(shared), _scanned(out.drop("n_words")))
         out = step.select("row", "text", "n_words", F.array_union("hit_words", "new_at").alias("hit_words"), F.array_union("items", "new_items").alias("items"))
+        if k + 1 < sets:
+            out = cut_lineage(out)
+            shared.destroy()
     contaminated = (F.size("hit_words") > 0) & (F.size("hit_words") * F.lit(20) >= F.col("n_words"))
     return out.select("row.*", "n_words", F.array_sort("hit_words").alias("hit_words"), F.array_sort("items").alias("items"), contaminated.alias("contaminated"))
 
