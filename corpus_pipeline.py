@@ -8,11 +8,15 @@
 
 A stage takes and returns the columns of ``documents``; the last returns ids instead of
 the text.  Rows without id pass the second stage, as they have no group; a null text is
-kept as null until it becomes an empty list of ids.
+kept as null until it becomes an empty list of ids.  Further columns pass through unchanged,
+also those named like a column that an operator adds; only in the last stage do its own
+``ids`` and ``n_tokens`` replace such ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,28 +24,47 @@ from sparvar.llm import decontaminate, jaccard_join, quality, secrets, sentencep
 from sparvar.llm.queries import tokenizer_path
 
 
+DOCUMENT = ("doc_id", "text", "n_chars")
+
+
+def _apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on ``docs`` whose further columns bear names that no operator uses."""
+    names = {c: c if c in DOCUMENT else f"corpus_{i}" for i, c in enumerate(docs.columns)}
+    out = work(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.classify(docs).where("kept").select(*docs.columns)
+    return _apart(docs, lambda d: quality.classify(d).where("kept"))
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.near_components(docs)
+    found = jaccard_join.near_components(docs.select("doc_id", "text"))
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("g_id"), F.col("text_crc").alias("g_crc")).distinct()
-    rows = docs.withColumn("text_crc", F.crc32(F.coalesce("text", F.lit(""))))
-    left = rows.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("text_crc") == F.col("g_crc")), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text_crc").orderBy("doc_id"))
-    return left.withColumn("nth", nth).where("nth = 1 OR doc_id IS NULL").select(*docs.columns)
+
+    def keep(d: DataFrame) -> DataFrame:
+        rows = d.withColumn("text_crc", F.crc32(F.coalesce("text", F.lit(""))))
+        left = rows.join(gone, (F.col("doc_id") == F.col("g_id")) & (F.col("text_crc") == F.col("g_crc")), "left_anti")
+        # Rows without id are no group: each gets a key of its own, so all stay and none crowd a task.
+        own = left.withColumn("alone", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+        nth = F.row_number().over(Window.partitionBy("doc_id", "text_crc", "alone").orderBy("doc_id"))
+        return own.withColumn("nth", nth).where("nth = 1")
+
+    return _apart(docs, keep)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.find_contamination(docs, benchmark).where("NOT contaminated").select(*docs.columns)
+    return _apart(docs, lambda d: decontaminate.find_contamination(d, benchmark).where("NOT contaminated"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(docs.withColumn("body", F.col("text")))
-    clean = secrets.redact(found, "body").withColumnRenamed("body", "text")
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    def clean(d: DataFrame) -> DataFrame:
+        found = secrets.find_secrets(d.withColumn("body", F.col("text")))
+        out = secrets.redact(found, "body").withColumnRenamed("body", "text")
+        return out.withColumn("n_chars", F.length("text").cast(d.schema["n_chars"].dataType))
+
+    return _apart(docs, clean)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,3 +138,25 @@ def test_pipeline_stages(spark, tmp_path, make):
             assert docs.count() == before.count() and docs.where("size(ids) <> n_tokens").isEmpty()
     assert steps and all(b >= a for _, b, a in seen)
     assert P.run(spark, sf).count() > 0 and queries.SEPARATOR
+
+
+CLASHES = ["score", "posterior", "kept", "text_crc", "nth", "alone", "n_words", "hit_words", "items", "contaminated", "base", "spans", "body", "row", "corpus_1", "g_id", "a b.c"]
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES])
+    nameless = spark.createDataFrame([(None, "words without an id stand here, said one clerk to another over tea", "en", "s", 66, *["x"] * len(CLASHES))] * 3, docs.schema)
+    docs = docs.unionByName(nameless)
+    for k, (name, stage) in enumerate(P.STAGES[:-1]):
+        out = stage(spark, docs, sf)
+        assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        out.write.parquet(f"{tmp_path}/{k}")
+        before, docs = docs.count(), spark.read.parquet(f"{tmp_path}/{k}")
+        rows = docs.collect()
+        assert 0 < len(rows) <= before and sum(r.doc_id is None for r in rows) == 3
+        assert all(r[c] == (f"{c}{r.doc_id}" if r.doc_id is not None else "x") for r in rows for c in CLASHES)
+    last = P.encode_pieces(spark, docs.withColumnsRenamed({"body": "ids", "base": "n_tokens"}), sf)
+    assert last.count() == docs.count() and last.where("size(ids) <> n_tokens").isEmpty()
