@@ -32,6 +32,7 @@ def test_tails(spark):
 
 def test_chromosome_lists():
     assert V.parse_chromosome_spec(" chr2, 1-3,M ,x") == ["1", "2", "3", "X", "MT"]
+    assert V.parse_chromosome_spec("4 - 6,,21-22") == ["4", "5", "6", "21", "22"]
     for bad in ("", "0-3", "5-2", "1-23", "Z", "1-X", ","):
         with pytest.raises(ValueError, match="no list of chromosomes"):
             V.parse_chromosome_spec(bad)

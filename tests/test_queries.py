@@ -11,7 +11,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 NAMES = [
     "S01_delimited_scan", "S04_sorted_table_join", "S13_phenotype_source", "P02_chromosome_tabular", "P03_multiallelic_split", "P04_parsimony", "P13_gt_dosage", "F12_mask_plof",
     "J01_annotate_exact", "J05_tissue_semi_join", "A08_cumulative_count", "W01_dedup_by_maf", "W05_segments", "N01_residuals", "T05_burden", "T13_variant_saddlepoint", "C08_A18_volcano",
-    "M02_A06_A07_merged_variants", "M_known_loci_match", "G02_components", "G04_unrelated_subset", "G05_to_variant_space", "G06_to_sample_space", "U02_union_parts",
+    "M02_A06_A07_merged_variants", "M_known_loci_match", "G02_components", "G04_unrelated_subset", "G05_to_variant_space", "G06_to_sample_space", "G03_divergence", "G08_pair_kinship", "G10_refined_pairs", "U02_union_parts",
 ]
 
 
