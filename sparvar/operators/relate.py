@@ -62,8 +62,9 @@ def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, sam
     ``(hethet - 2 homopp) / (het_i + het_j) < cutoff``.  Absent carriers are reference
     homozygotes, so with q the sum of dosage products ``hethet - 2 homopp = q - 2 (hom_i + hom_j)``:
     counts a sample and one blocked product decide all pairs.  The product is cut in three
-    ways (related samples, samples, ``width`` variants); a task holds one block of each kind and
-    returns one packed row of sums a related sample.  Partial sums are added a (slice of
+    ways (related samples, samples, ``width`` variants); a task holds one block of each kind, adds
+    up rare variants carrier by carrier and common ones as matrices, and returns one packed row
+    of sums a related sample.  Partial sums are added a (slice of
     64 related samples, block of samples), where the cutoff is applied.  Pairs are never rows.
     """
     from .cohort import ordered_rank
@@ -109,16 +110,29 @@ def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, sam
             at = np.repeat(rows_at, lists.map(len).to_numpy())
             flat.append((at, code >> 2, (code & 3).astype(np.float32)))
         total = np.zeros((len(x), int(y["slot"].max()) + 1), np.int32)
-        part = 2048
-        for low in range(0, width, part):
+        meets = np.prod([np.bincount(v, minlength=width) for _, v, _ in flat], axis=0)
+        common = meets * 100 > total.size
+        # Rare variants: every carrier of one side with its run of carriers on the other.
+        (xr, xv, xd), (yr, yv, yd) = ([c[~common[f[1]]] for c in f] for f in flat)
+        by = np.argsort(yv, kind="stable")
+        yr, yv, yd = yr[by], yv[by], yd[by]
+        low, high = np.searchsorted(yv, xv), np.searchsorted(yv, xv, side="right")
+        ends = np.cumsum(high - low)
+        for cut in np.split(np.arange(len(xv)), np.searchsorted(ends, np.arange(2_000_000, ends[-1] if len(ends) else 0, 2_000_000))):
+            n = (high - low)[cut]
+            own = np.repeat(cut, n)
+            other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[cut], n)
+            np.add.at(total, (xr[own], yr[other]), (xd[own] * yd[other]).astype(np.int32))
+        # Common ones: dense products of some columns at a time.
+        place = np.cumsum(common) - 1
+        for start in range(0, int(common.sum()), 2048):
             dense = []
             for (at, v, d), n in zip(flat, total.shape, strict=True):
-                inside = (v >= low) & (v < low + part)
-                m = np.zeros((n, part), np.float32)
-                m[at[inside], v[inside] - low] = d[inside]
+                inside = common[v] & (place[v] >= start) & (place[v] < start + 2048)
+                m = np.zeros((n, 2048), np.float32)
+                m[at[inside], place[v[inside]] - start] = d[inside]
                 dense.append(m)
-            if dense[0].any() and dense[1].any():
-                total += (dense[0] @ dense[1].T).astype(np.int32)
+            total += (dense[0] @ dense[1].T).astype(np.int32)
         some = np.flatnonzero(total.any(1))
         return pd.DataFrame({"sample_idx": x["sample_idx"].to_numpy()[some], "b": np.full(len(some), b, np.int32),
                              "q": pd.Series([total[r].tobytes() for r in some], dtype=object)})
