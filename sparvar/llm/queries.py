@@ -92,8 +92,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
-    return found.select("doc_id", *count, F.sha2(secrets.spans_text("base"), 256).alias("base_sha256"), secrets.spans_text("spans").alias("spans"))
+
+    def count(k: int):  # a second parameter of the lambda would be the position
+        return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{secrets.KINDS[k]}")
+
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(secrets.spans_text("base"), 256).alias("base_sha256"), secrets.spans_text("spans").alias("spans"))
 
 
 @_query("op9_toxicity")
