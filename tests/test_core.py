@@ -143,3 +143,24 @@ def test_saddlepoint_is_near_normal_for_balanced_and_exact_in_form(cohort, spark
     got = spa.variant_saddlepoint(carriers, null.vectors).toPandas()
     assert ((got["p"] > 0) & (got["p"] <= 1)).all() and got["exact"].any()
     assert (np.abs(np.log10(got.loc[got["exact"], "p"] / got.loc[got["exact"], "p_normal"])) < 1.5).all()
+
+
+def test_trimming_works_out_each_run_once(spark):
+    from random import Random
+
+    rng = Random(5)
+    rows = [("".join(rng.choices("ACG", k=rng.randint(0, 9))), "".join(rng.choices("AC", k=rng.randint(0, 9))), 100) for _ in range(400)]
+    rows += [("A" * 900 + "C" + "A" * 70, "A" * 900 + "G" + "A" * 70, 1), ("AC" * 500, "AC" * 480, 5), (None, "A", 3), ("GGATC", "GGCTC", 7)]
+
+    def trim(r, a, p):
+        if r is None or not r or not a or r == a:
+            return r, a, p
+        while min(len(r), len(a)) > 1 and r[-1] == a[-1]:
+            r, a = r[:-1], a[:-1]
+        while min(len(r), len(a)) > 1 and r[0] == a[0]:
+            r, a, p = r[1:], a[1:], p + 1
+        return r, a, p
+
+    df = spark.createDataFrame(rows, "r string, a string, p int").select("r", "a", "p", V.parsimonious("r", "a", "p").alias("v"))
+    assert [(x.v.ref, x.v.alt, x.v.position) for x in df.collect() if x.r] == [trim(*x) for x in rows if x[0]]
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 2
