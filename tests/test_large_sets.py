@@ -67,3 +67,36 @@ def test_nan_stays(spark, cohort):
     every = spark.createDataFrame([("a\u0001m", 0, float("nan")), ("a\u0001m", 1, 0.25)], "set_id string, slot int, p double")
     row = ST._by_mask(every, sizes).first()
     assert (row.set_id, row["mask"], row.n_variants) == ("a", "m", 4) and np.isnan(row.p[0]) and row.p[1] == 0.25 and set(row.p[2:]) == {1.0}
+
+
+def test_traces_of_few_cells_and_of_many():
+    rng = np.random.default_rng(3)
+    for m, share in ((60, 0.05), (60, 0.3), (150, 0.02)):
+        g = (rng.random((400, m)) < share) * rng.integers(1, 3, (400, m)).astype(float)
+        g[:, ::7] = 0
+        om, x, w = rng.random(400), np.c_[np.ones(400), rng.random(400)], rng.random((m, 3))
+        s, h, inv = g.T @ (om[:, None] * g), g.T @ (om[:, None] * x), np.linalg.inv(x.T @ (om[:, None] * x))
+        k = s - h @ inv @ h.T
+        want = [[np.trace(np.linalg.matrix_power(w[:, i, None] * k * w[None, :, i], e)) for e in (1, 2, 3, 4)] for i in range(3)]
+        a, b = np.nonzero(np.triu(s))
+        cells = ST.Cells(a, b, s[a, b], m)
+        runs = [(lo, min(lo + 13, m)) for lo in range(0, m, 13)]
+        assert np.allclose(sum(cells.path_traces(w, *r) for r in runs) + cells.projection_traces(w, h, inv), want, rtol=1e-9)
+        assert np.allclose(sum(cells.tile_traces(w, h, inv, lo, min(lo + 32, m), 8) for lo in range(0, m, 32)), want, rtol=1e-9)
+
+
+def test_pair_products_by_sample_and_by_tile_agree(spark, monkeypatch):
+    from sparvar.operators import gram
+
+    rng = np.random.default_rng(4)
+    g = (rng.random((40, 30)) < 0.2) * rng.integers(1, 3, (40, 30))
+    carriers = spark.createDataFrame([(int(j), int(i), int(g[i, j])) for i, j in zip(*np.nonzero(g))], "variant_id long, sample_idx long, dosage int")
+    ranked = spark.createDataFrame([("s", j, j) for j in range(30)] + [("t", j, j - 20) for j in range(20, 30)], "set_id string, variant_id long, j int")
+    weights = spark.createDataFrame([(i, 0.5 + i) for i in range(40)], "sample_idx long, w double")
+    want = g.T @ ((0.5 + np.arange(40))[:, None] * g)
+    for few in (0, 5, 64):  # all by tile, some, none
+        monkeypatch.setattr(gram, "FEW", few)
+        got = {(r.set_id, r.j1, r.j2): r.s for r in gram.pair_products(ranked, carriers, weights, chunk_rows=50, tile=8).collect()}
+        full = {("s", i, j): want[i, j] for i in range(30) for j in range(i, 30) if want[i, j]}
+        full |= {("t", i - 20, j - 20): want[i, j] for i in range(20, 30) for j in range(i, 30) if want[i, j]}
+        assert got.keys() == full.keys() and all(abs(got[k] - full[k]) < 1e-9 for k in full)
