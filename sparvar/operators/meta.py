@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.variant import orient
+from ..session import cut_lineage
 from . import gram
 from .masks import SEGMENT_BP, assign_segments, mask_array
 from .nullmodel import NullModel
 from .score import h_cols, variant_scores
 from .settests import W_COLS, battery
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 RIDGE = 1e-8
 TEXT_FIELDS = ["gene_name", "region_type", "consequence", "metasvm_pred", "genehancer"]
 FLAG_FIELDS = ["is_cage_promoter", "is_cage_enhancer", "is_ccre_promoter", "is_ccre_enhancer"]
@@ -30,7 +31,10 @@ def emit_sumstats(index: DataFrame, carriers: DataFrame, null: NullModel, width:
 
     ``index``: variant_id, chromosome, position, ref, alt, maf, annotation and
     weights.  A segment's packed lower triangle is built in one task; segments
-    hold at most ``limit`` variants, so that group is bounded.
+    hold at most ``limit`` variants, so that group is bounded.  Covariance between two
+    segments of a chromosome is kept as the non-zero products of their variants, one row
+    a pair of segments (``other_id``, ``cross``), and ``h``, ``hc`` of every variant, whose
+    product is the projection.
     """
     seg = assign_segments(index, width, limit)
     hs, s2, n = h_cols(null), null.sigma2, null.n
@@ -46,24 +50,32 @@ def emit_sumstats(index: DataFrame, carriers: DataFrame, null: NullModel, width:
     from .cohort import ordered_rank
 
     ranked = ordered_rank(keyed, ["set_id"], F.floor(F.col("position") / 4096), ["position", "ref", "alt"], "j").withColumn("j", F.col("j").cast("int"))
-    cells = gram.pair_products(ranked.select("set_id", "variant_id", "j"), carriers, null.vectors.select("sample_idx", "w"))
+    whole = ranked.select(F.col("chromosome").alias("set_id"), "variant_id", (F.col("segment_id") * limit + F.col("j")).cast("int").alias("j"))
+    every = gram.pair_products(whole, carriers, null.vectors.select("sample_idx", "w")).select(
+        F.col("set_id").alias("chromosome"), *[F.floor(F.col(f"j{i}") / limit).cast("int").alias(f"_s{i}") for i in (1, 2)],
+        *[(F.col(f"j{i}") % limit).alias(f"j{i}") for i in (1, 2)], "s")
+    cells = every.where("_s1 = _s2").select(F.concat_ws("|", "chromosome", F.col("_s1").cast("string")).alias("k_set"), "j1", "j2", "s")
+    cross = every.where("_s1 < _s2").groupBy("chromosome", F.col("_s1").alias("segment_id"), F.col("_s2").alias("other_id")).agg(
+        F.collect_list(F.struct(F.col("j1").alias("i"), F.col("j2").alias("j"), (F.col("s") / s2).alias("s"))).alias("cross"))
     inv = null.cov_inv
 
     def pack(key, v: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         from .settests import covariance
 
         v = v.sort_values("j")
-        k = covariance(c, len(v), v[hs].to_numpy(float), inv) / s2
+        h = v[hs].to_numpy(float)
+        k = covariance(c, len(v), h, inv) / s2
         lower = k[np.tril_indices(len(v))]
         return pd.DataFrame([(
             v["chromosome"].iloc[0], int(v["segment_id"].iloc[0]), len(v), v["position"].tolist(),
-            v["ref"].tolist(), v["alt"].tolist(), lower,
-        )], columns=["chromosome", "segment_id", "n_variants", "positions", "refs", "alts", "cov_lower"])
+            v["ref"].tolist(), v["alt"].tolist(), lower, h.tolist(), (h @ inv / s2).tolist(),
+        )], columns=["chromosome", "segment_id", "n_variants", "positions", "refs", "alts", "cov_lower", "h", "hc"])
 
     segments = ranked.select("set_id", "chromosome", "segment_id", "j", "position", "ref", "alt", *hs).groupBy("set_id").cogroup(
-        cells.groupBy("set_id")).applyInPandas(
-        pack, "chromosome string, segment_id int, n_variants int, positions array<int>, refs array<string>, alts array<string>, cov_lower array<double>")
-    return variants, segments
+        cells.groupBy("k_set")).applyInPandas(
+        pack, "chromosome string, segment_id int, n_variants int, positions array<int>, refs array<string>, alts array<string>, cov_lower array<double>, "
+        "h array<array<double>>, hc array<array<double>>")
+    return variants, segments.unionByName(cross, allowMissingColumns=True)
 
 
 def study_metadata(spark: SparkSession, null: NullModel, trait: str, covariates: list[str], maf_cutoff: float, width: int = SEGMENT_BP) -> DataFrame:
@@ -167,15 +179,16 @@ def covariance_cells(members: DataFrame, segments: DataFrame, by_study: bool = F
     arithmetic, so the triangle is never exploded as a whole.
     """
     a, b, sign = orient("r", "a")
-    local = segments.select(
-        "study_idx", "chromosome", "segment_id",
-        F.posexplode(F.arrays_zip(F.col("positions").alias("p"), F.col("refs").alias("r"), F.col("alts").alias("a"))).alias("idx", "z"),
-    ).select("study_idx", "chromosome", "segment_id", "idx", F.col("z.p").alias("position"), F.col("z.r").alias("r"), F.col("z.a").alias("a"))
-    local = local.select("study_idx", "chromosome", "segment_id", "idx", "position", a.alias("ref"), b.alias("alt"), sign.alias("sg"))
+    at = ["study_idx", "chromosome", "segment_id"]
+    own = segments.where("other_id is null")
+    local = own.select(*at, F.posexplode(F.arrays_zip(
+        F.col("positions").alias("p"), F.col("refs").alias("r"), F.col("alts").alias("a"), "h", "hc")).alias("idx", "z")).select(*at, "idx", "z.*")
+    local = local.select(*at, "idx", F.col("p").alias("position"), a.alias("ref"), b.alias("alt"), sign.alias("sg"), "h", "hc")
     found = members.select("set_id", "j", "chromosome", "position", "ref", "alt").join(local, ["chromosome", "position", "ref", "alt"])
+    found = cut_lineage(found)  # read five times below
     held = found.groupBy("set_id", "study_idx", "chromosome", "segment_id").agg(
         F.collect_list(F.struct("j", "idx", "sg")).alias("m"))  # at most one segment's variants
-    with_cov = held.join(segments.select("study_idx", "chromosome", "segment_id", "cov_lower"), ["study_idx", "chromosome", "segment_id"])
+    with_cov = held.join(own.select("study_idx", "chromosome", "segment_id", "cov_lower"), ["study_idx", "chromosome", "segment_id"])
 
     def cell(x: Column, y: Column) -> Column:
         row, col = F.greatest(x["idx"], y["idx"]), F.least(x["idx"], y["idx"])
@@ -184,8 +197,21 @@ def covariance_cells(members: DataFrame, segments: DataFrame, by_study: bool = F
 
     cells = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["j"] >= x["j"]), lambda y: cell(x, y)))
     keys = ["set_id"] + (["study_idx"] if by_study else [])
-    return with_cov.select("set_id", "study_idx", F.explode(F.flatten(cells)).alias("c")).select(
-        "set_id", "study_idx", "c.*").groupBy(*keys, "j1", "j2").agg(F.sum("s").alias("s"))
+    within = with_cov.select("set_id", "study_idx", F.explode(F.flatten(cells)).alias("c")).select("set_id", "study_idx", "c.*")
+
+    # Members of one set in two segments: the products both share, less the projection.
+    def side(k: int) -> DataFrame:
+        segment = "segment_id" if k == 1 else "other_id"
+        return found.select("set_id", "study_idx", "chromosome", F.col("segment_id").alias(segment), F.col("idx").alias("ij"[k - 1]), F.col("j").alias(f"n{k}"), F.col("sg").alias(f"g{k}"), F.col("h" if k == 1 else "hc").alias(f"h{k}"))
+
+    spots = [F.least("n1", "n2").alias("j1"), F.greatest("n1", "n2").alias("j2")]
+    shared = segments.where("other_id is not null").select(*at, "other_id", F.explode("cross").alias("z")).select(*at, "other_id", "z.*")
+    shared = shared.join(side(1).drop("h1"), [*at, "i"]).join(side(2).drop("h2"), ["set_id", "study_idx", "chromosome", "other_id", "j"])
+    shared = shared.select("set_id", "study_idx", *spots, (F.col("s") * F.col("g1") * F.col("g2")).alias("s"))
+    lost = side(1).join(side(2), ["set_id", "study_idx", "chromosome"]).where("segment_id < other_id")
+    dot = F.aggregate(F.zip_with("h1", "h2", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    lost = lost.select("set_id", "study_idx", *spots, (-dot * F.col("g1") * F.col("g2")).alias("s"))
+    return within.unionByName(shared).unionByName(lost).groupBy(*keys, "j1", "j2").agg(F.sum("s").alias("s"))
 
 
 def meta_members(merged: DataFrame, names: list[str] | None = None) -> DataFrame:

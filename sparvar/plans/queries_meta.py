@@ -24,8 +24,9 @@ from .registry import query, rnd
 class Studies:
     """Two studies of a cohort, written and read back."""
 
-    def __init__(self, c: Cohort):
+    def __init__(self, c: Cohort, **segment_limits):
         self.c = c
+        self.segment_limits = segment_limits
 
     @cached_property
     def tables(self) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +39,7 @@ class Studies:
             carriers = self.c.carriers.where(mine)
             freq = carriers.groupBy("variant_id").agg((F.sum("dosage") / (2.0 * null.n)).alias("maf"))
             index = self.c.rare_index().drop("maf", "af", "ac").join(freq, "variant_id", "left").fillna(0.0, subset=["maf"])
-            variants, segments = M.emit_sumstats(index, carriers, null)
+            variants, segments = M.emit_sumstats(index, carriers, null, **self.segment_limits)
             if k:
                 variants, segments = self.turned(variants, segments)
             path = scratch_path(self.c.spark, f"study{k}")
@@ -58,7 +59,13 @@ class Studies:
         rows = segments.withColumn("sg", sign).withColumns({"refs": pick("refs", "alts"), "alts": pick("alts", "refs")})
         # Entry (i, j) of the packed triangle takes both signs.
         signs = F.flatten(F.transform("sg", lambda a, i: F.transform(F.slice("sg", 1, i + 1), lambda b: a * b)))
-        return variants, rows.withColumn("cov_lower", F.zip_with("cov_lower", signs, lambda k, s: k * s)).drop("sg")
+        rows = rows.withColumn("cov_lower", F.zip_with("cov_lower", signs, lambda k, s: k * s))
+        rows = rows.withColumns({x: F.zip_with(x, "sg", lambda h, s: F.transform(h, lambda v: v * s)) for x in ("h", "hc")})
+        # Products of two segments take the signs of both.
+        at = rows.where("other_id is null").select("chromosome", "segment_id", F.col("sg").alias("sg1"))
+        rows = rows.join(at, ["chromosome", "segment_id"], "left").join(at.select("chromosome", F.col("segment_id").alias("other_id"), F.col("sg1").alias("sg2")), ["chromosome", "other_id"], "left")
+        signed = F.transform("cross", lambda z: F.struct(z["i"].alias("i"), z["j"].alias("j"), (z["s"] * F.get("sg1", z["i"]) * F.get("sg2", z["j"])).alias("s")))
+        return variants, rows.withColumn("cross", signed).drop("sg", "sg1", "sg2")
 
     @cached_property
     def merged(self) -> DataFrame:
