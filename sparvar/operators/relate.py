@@ -60,12 +60,13 @@ def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, sam
 
     All variants count; ``max_variants`` asks for a strided subset.  A pair is far when
     ``(hethet - 2 homopp) / (het_i + het_j) < cutoff``.  Absent carriers are reference
-    homozygotes, so with q the sum of dosage products ``hethet - 2 homopp = q - 2 (hom_i + hom_j)``:
-    counts a sample and one blocked product decide all pairs.  The product is cut in three
+    homozygotes, so with q the sum of dosage products ``hethet - 2 homopp = q - 2 (hom_i + hom_j)``.
+    Where fewer carriers meet on variants than there are pairs, ``_far_by_shared`` looks only at
+    pairs that meet.  Otherwise one blocked product decides all pairs, cut in three
     ways (related samples, samples, ``width`` variants); a task holds one block of each kind, adds
     up rare variants carrier by carrier and common ones as matrices, and returns one packed row
     of sums a related sample.  Partial sums are added a (slice of
-    64 related samples, block of samples), where the cutoff is applied.  Pairs are never rows.
+    64 related samples, block of samples), where the cutoff is applied.  Pairs are never rows there.
     """
     from .cohort import ordered_rank
 
@@ -79,13 +80,20 @@ def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, sam
         step = max(1, variants.count() // max(1, max_variants))
         order = order.filter((F.col("_ord") % step == 0) & (F.col("_ord") < step * max_variants)).withColumn("_ord", F.floor(F.col("_ord") / step))
     calls = carriers.filter(F.col("dosage").isin(1, 2)).select("variant_id", "sample_idx", F.col("dosage").cast("int").alias("d"))
-    calls = calls.join(order.select("variant_id", F.col("_ord").alias("v")), "variant_id").join(people, "sample_idx", "left_semi")
+    used = order.select("variant_id", F.col("_ord").alias("v")) if max_variants is not None else variants.select("variant_id")
+    calls = cut_lineage(calls.join(used, "variant_id").join(people, "sample_idx", "left_semi"))
+    n_all, mine = people.count(), cut_lineage(related.select("sample_idx").distinct().join(people, "sample_idx", "left_semi"))
+    n_mine = mine.count()
+    met = calls.join(mine.withColumn("own", F.lit(1)), "sample_idx", "left").groupBy("variant_id").agg(F.count("*").alias("c"), F.count("own").alias("m"))
+    met = met.agg(F.sum(F.col("c").cast("double") * F.col("m")).alias("rows"), F.max("c").alias("most")).first()
+    if (met["rows"] or 0) <= float(n_mine) * n_all:
+        return _far_by_shared(calls, mine, people, cutoff, met["most"] or 0)
+    if max_variants is None:
+        calls = calls.join(order.select("variant_id", F.col("_ord").alias("v")), "variant_id")
     # At most ``width`` codes a row; the code holds the place within the block and the dosage.
     packed = cut_lineage(calls.groupBy("sample_idx", F.floor(F.col("v") / width).cast("int").alias("vb")).agg(
         F.collect_list(((F.col("v") % width) * 4 + F.col("d")).cast("int")).alias("g"),
         F.count_if(F.col("d") == 1).alias("het"), F.count_if(F.col("d") == 2).alias("hom")))
-    n_all, mine = people.count(), related.select("sample_idx").distinct().join(people, "sample_idx", "left_semi")
-    n_mine = mine.count()
     nb, na, ns = (max(1, -(-n // size)) for n, size in ((n_all, columns), (n_mine, rows), (n_mine, 64)))
     h = F.xxhash64("sample_idx")
 
@@ -167,6 +175,63 @@ def divergence(carriers: DataFrame, variants: DataFrame, related: DataFrame, sam
     return part.groupBy("sample_idx").agg(F.sum("divergence").alias("divergence"))
 
 
+def _far_by_shared(calls: DataFrame, mine: DataFrame, people: DataFrame, cutoff: float, most: int, piece: int = 2048, kinds: int = 2048) -> DataFrame:
+    """``divergence`` by pairs that share a variant, for carriers ``calls`` with at most ``most`` a variant.
+
+    A pair that shares none has q = 0, so the (het, hom) counts of both samples decide it: samples
+    are counted by those.  Sharing only raises the value, so pairs far by counts alone that
+    share a variant are added up, and those no longer far taken off.  With a cutoff below zero one sample of
+    such a pair has a homozygote.  Carriers of a variant are joined in pieces of about ``piece``.
+    """
+    counts = calls.groupBy("sample_idx").agg(F.count_if(F.col("d") == 1).alias("het"), F.count_if(F.col("d") == 2).alias("hom"))
+    everyone = cut_lineage(people.join(counts, "sample_idx", "left").fillna(0))
+    own = everyone.join(mine, "sample_idx", "left_semi")
+
+    every_kind, my_kind = everyone.groupBy("het", "hom").agg(F.count("*").alias("n")), own.select("het", "hom").distinct()
+    nb = max(1, -(-every_kind.count() // kinds))
+    h = F.xxhash64("het", "hom")
+    x = my_kind.withColumn("a", F.pmod(h, F.lit(nb)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    y = every_kind.select(F.col("het").alias("of_het"), F.col("hom").alias("of_hom"), "n", F.pmod(h, F.lit(nb)).cast("int").alias("of_b")).withColumn(
+        "of_a", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+
+    def count(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        het, hom, n = (y[c].to_numpy(np.int64) for c in ("of_het", "of_hom", "n"))
+        far = np.zeros(len(x), np.int64)
+        for i, (xt, xm) in enumerate(zip(x["het"].to_numpy(np.int64), x["hom"].to_numpy(np.int64), strict=True)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                far[i] = n[(het + xt > 0) & (-2 * (hom + xm) / (het + xt) < cutoff)].sum()
+        return pd.DataFrame({"het": x["het"], "hom": x["hom"], "far": far})
+
+    far = x.groupBy("a", "b").cogroup(y.groupBy("of_a", "of_b")).applyInPandas(count, "het long, hom long, far long").groupBy("het", "hom").agg(F.sum("far").alias("far"))
+
+    def is_far(q, hom, het):
+        return F.try_divide((q - 2 * hom).cast("double"), het.cast("double")) < cutoff
+
+    rows = calls.select("variant_id", "sample_idx", "d").join(everyone, "sample_idx")
+    pieces = F.lit(1)
+    if most > piece:
+        size = calls.groupBy("variant_id").agg(F.count("*").alias("size"))
+        rows, pieces = rows.join(size, "variant_id"), F.ceil(F.col("size") / piece)
+    part = F.pmod(F.xxhash64("sample_idx"), pieces).cast("int")
+    others = F.explode(F.sequence(F.lit(0), pieces.cast("int") - 1))
+    with_hom = F.array(F.lit(True), F.lit(False))
+    meets = F.when(F.col("hom") > 0, with_hom).otherwise(F.array(F.lit(True))) if cutoff < 0 else with_hom
+    left = rows.join(mine, "sample_idx", "left_semi").select(
+        "variant_id", F.col("sample_idx").alias("a"), F.col("d").alias("da"), F.col("het").alias("het_a"), F.col("hom").alias("hom_a"),
+        part.alias("pa"), F.explode(meets).alias("hom_met"), *([F.col("size")] if most > piece else [])).withColumn("pb", others).drop("size")
+    right = rows.select(
+        "variant_id", F.col("sample_idx").alias("b"), F.col("d").alias("db"), F.col("het").alias("het_b"), F.col("hom").alias("hom_b"),
+        part.alias("pb"), (F.col("hom") > 0).alias("hom_met"), *([F.col("size")] if most > piece else [])).withColumn("pa", others).drop("size")
+    het, hom = F.col("het_a") + F.col("het_b"), F.col("hom_a") + F.col("hom_b")
+    met = left.join(right, ["variant_id", "hom_met", "pa", "pb"]).where(F.col("a") != F.col("b")).where(is_far(F.lit(0), hom, het))
+    met = met.groupBy("a", "b").agg(F.sum(F.col("da") * F.col("db")).alias("q"), F.first(hom).alias("hom"), F.first(het).alias("het"))
+    near = met.where(~is_far(F.col("q"), F.col("hom"), F.col("het"))).groupBy(F.col("a").alias("sample_idx")).agg(F.count("*").alias("near"))
+    # The sample itself is among those counted.
+    alone = F.when(F.coalesce(is_far(F.lit(0), 2 * F.col("hom"), 2 * F.col("het")), F.lit(False)), 1).otherwise(0)
+    out = own.join(far, ["het", "hom"]).join(near, "sample_idx", "left")
+    return out.select("sample_idx", (F.col("far") - alone - F.coalesce("near", F.lit(0))).cast("long").alias("divergence"))
+
+
 def unrelated_subset(pairs: DataFrame, samples: DataFrame, div: DataFrame) -> DataFrame:
     """Samples left after repeatedly dropping the most connected one.
 

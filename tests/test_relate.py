@@ -62,6 +62,28 @@ def test_divergence_of_empty_tables(cohort):
     assert {r.divergence for r in R.divergence(carriers.where("false"), variants, samples, samples).collect()} == {0}
 
 
+@pytest.mark.parametrize("piece", [4, 2048])
+@pytest.mark.parametrize("cutoff", [-0.3, 0.01])
+def test_divergence_by_shared_variants(spark, cohort, piece, cutoff):
+    g, samples, carriers, variants, _, links = cohort
+    who = sorted({x for pair in links for x in pair}) + [74]
+    calls = carriers.withColumnRenamed("dosage", "d")
+    mine = samples.where(samples.sample_idx.isin(who)).select("sample_idx")
+    out = R._far_by_shared(calls, mine, samples.select("sample_idx"), cutoff, 75, piece, kinds=8)
+    got = {r.sample_idx: r.divergence for r in out.collect()}
+    assert got == far_counts(g, who, cutoff)
+    assert len(set(got.values())) > 3
+
+
+def test_rare_variants_are_joined_not_multiplied(spark, cohort, monkeypatch):
+    _, samples, _, variants, _, _ = cohort
+    called = []
+    monkeypatch.setattr(R, "_far_by_shared", lambda *a: called.append(a))
+    rare = spark.createDataFrame([(v, v, 1) for v in range(60)], "variant_id long, sample_idx long, dosage int")
+    R.divergence(rare, variants, samples, samples)
+    assert called
+
+
 def standardised(g, train):
     mu = g[train].mean(0) / 2
     var = 2 * mu * (1 - mu)
