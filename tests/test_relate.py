@@ -170,3 +170,18 @@ def test_refined_threshold_drops_what_ties_components(spark):
     assert (t, raised) == (0.09, False)
     # A limit that no pair meets ends with no components.
     assert R.refine_threshold(kin, 0.09, 1)[1].count() == 0
+
+
+def test_expected_sums_visit_distinct_coordinates_once(spark):
+    # 2e11 combinations of a pair and a variant, 147 of distinct coordinates.
+    from sparvar.operators.kinblocks import expected_sums
+
+    pairs = spark.range(400_000).selectExpr("id AS i", "id + 1 AS j")
+    x = spark.range(400_001).selectExpr("id AS sample_idx", "array(1D, id % 7 / 7D) AS x")
+    coefs = spark.range(500_000).selectExpr("id AS variant_id", "array(id % 3 - 0.5D, 0.25D) AS b")
+    n = np.array([166_667, 166_667, 166_666])
+    out = expected_sums(pairs, x, coefs, 1e-4, 1.9999, 20_000)
+    assert out.count() == 400_000
+    for r in out.where("i < 7").collect():
+        mi, mj = (np.clip(np.arange(3) - 0.5 + 0.25 * (s % 7) / 7, 1e-4, 1.9999) for s in (r.i, r.j))
+        assert np.isclose(r.mm, (n * mi * mj).sum()) and np.isclose(r.sd, (n * np.sqrt(4 * mi * (1 - mi / 2) * mj * (1 - mj / 2))).sum())
