@@ -520,9 +520,8 @@ def r05(c: Cohort) -> DataFrame:
     from ..operators import scan
 
     m = gaussian(c)
-    z = scan.pseudo_residuals(m).join(m.vectors, "sample_idx")
-    return z.select("sample_idx", *m.x_cols, F.posexplode("z").alias("draw", "e")).groupBy("draw").agg(
-        F.count("*").alias("n"), *[F.round(F.sum(F.col("e") * F.col(x)), 6).alias(f"orth_{x}") for x in m.x_cols])
+    sums = scan.draw_sums(scan.pseudo_residuals(m, covariates=True), m.x_cols)
+    return sums.select("draw", "n", *[F.round(x, 6).alias(f"orth_{x}") for x in m.x_cols])
 
 
 @query("R06_W07_empirical_threshold")
