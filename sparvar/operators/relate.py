@@ -21,13 +21,14 @@ def index_pairs(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     return known.groupBy(F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j")).agg(F.min("prop_ibd").alias("prop_ibd"))
 
 
-def connected_components(pairs: DataFrame, check_every: int = 1) -> DataFrame:
+def connected_components(pairs: DataFrame, check_every: int = 1, most: int | None = None) -> DataFrame | None:
     """(sample, component) where component is the smallest member index.
 
     Alternating large-star and small-star steps: every vertex links its
     neighbours to the smallest one, which shortens chains exponentially and
     leaves no vertex with an unbounded neighbour list in memory (only ``min``
-    aggregates).  Runs jobs until the edges stop changing.
+    aggregates).  Runs jobs until the edges stop changing, or until a vertex has ``most`` others linked
+    to it: then some component has more members than that and the result is None.
     """
     edges = cut_lineage(pairs.select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).filter("a != b").distinct())
     vertices = edges.select(F.explode(F.array("a", "b")).alias("sample")).distinct()
@@ -44,7 +45,14 @@ def connected_components(pairs: DataFrame, check_every: int = 1) -> DataFrame:
         ).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).filter("a != b").distinct()
         edges = cut_lineage(small)
         # Edge count and label sum together identify a fixed point of the iteration.
-        r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
+        if most is None:
+            r = edges.agg(F.count("*").alias("n"), mark).first()
+        else:
+            stars = edges.groupBy("b").agg(F.count("*").alias("n"), mark)
+            r = stars.agg(F.sum("n").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.max("n").alias("top")).first()
+            if r["top"] and r["top"] >= most:
+                return None
         now = (r["n"], r["h"])
         if now == before:
             break
@@ -455,9 +463,9 @@ def refine_threshold(kin: DataFrame, threshold: float, limit: int | None = None)
     active = cut_lineage(kin.filter((F.col("i") < F.col("j")) & (F.col("kinship") >= threshold)).select("i", "j", "kinship"))
     raised = False
     while True:
-        comp = connected_components(active)
-        top = comp.groupBy("component").count().agg(F.max("count").alias("m")).first()["m"] or 0
-        if limit is None or top <= limit:
+        # Too large a component shows long before it is complete.
+        comp = connected_components(active, most=limit)
+        if comp is not None:
             return threshold, comp, raised
         raised = True
         # Steps that drop no pair leave the components as they are.

@@ -185,3 +185,25 @@ def test_expected_sums_visit_distinct_coordinates_once(spark):
     for r in out.where("i < 7").collect():
         mi, mj = (np.clip(np.arange(3) - 0.5 + 0.25 * (s % 7) / 7, 1e-4, 1.9999) for s in (r.i, r.j))
         assert np.isclose(r.mm, (n * mi * mj).sum()) and np.isclose(r.sd, (n * np.sqrt(4 * mi * (1 - mi / 2) * mj * (1 - mj / 2))).sum())
+
+
+def test_threshold_is_raised_before_a_large_component_is_complete(spark, monkeypatch):
+    # A chain of all samples used to be labelled to its end before its size was looked at.
+    n = 400
+    rows = [(i, i + 1, 0.3 if i % 3 != 2 else 0.089 + (i % 5) * 0.0005) for i in range(n - 1)]
+    pairs = spark.createDataFrame(rows, "i long, j long, kinship double")
+    steps = []
+    real = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: steps.append(1) or real(df))
+    assert R.connected_components(pairs, most=3) is None
+    assert len(steps) <= 4
+    threshold, comp, raised = R.refine_threshold(pairs, R.kinship_threshold(2), 3)
+    assert raised and threshold >= 0.091
+    assert {(r["sample"], r["component"]) for r in comp.collect()} == {(i, i // 3 * 3) for i in range(n) if i < 399}
+
+
+def test_components_up_to_the_limit_are_complete(spark):
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (7, 5)], "i long, j long")
+    whole = {(0, 0), (1, 0), (2, 0), (3, 0), (5, 5), (7, 5)}
+    assert {(r["sample"], r["component"]) for r in R.connected_components(pairs, most=4).collect()} == whole
+    assert R.connected_components(pairs, most=3) is None
