@@ -27,6 +27,8 @@ LAMBDA_MIN = 1e-8
 RUN_TILES = 16
 PATH_BLOCK = 2_000_000
 DENSE_PATHS = 32
+#: Matrix cells of weightings decomposed together.
+SKAT_CELLS = 1 << 18
 # Result column names.
 TESTS = ["Burden(1,25)", "Burden(1,1)", "SKAT(1,25)", "SKAT(1,1)", "ACAT-V(1,25)", "ACAT-V(1,1)"]
 OMNIBUS = ["STAAR-B(1,25)", "STAAR-B(1,1)", "STAAR-S(1,25)", "STAAR-S(1,1)", "STAAR-A(1,25)", "STAAR-A(1,1)"]
@@ -67,15 +69,15 @@ def battery(u: np.ndarray, k: np.ndarray, maf: np.ndarray, chan: np.ndarray, n:
         single = chi2_1_sf_np(np.where(var > 0, u**2 / var, 0.0))
     usable = common & (var > 0)
     out = np.empty((1 + len(chan), 6))
+    every = np.vstack([np.ones(len(u)), chan])
+    skat = _skat_batch(u, k, np.sqrt(every)[:, None, :] * beta[None], s2)
     for c in range(1 + len(chan)):
-        a = np.ones(len(u)) if c == 0 else chan[c - 1]
+        a = every[c]
+        out[c, 2:4] = skat[c]
         for t in range(2):
             wb = beta[t] * a
             v = s2 * wb @ k @ wb
             out[c, t] = chi2_1_sf_np(np.array([(wb @ u) ** 2 / v]))[0] if v > 0 else 1.0
-            ws = beta[t] * np.sqrt(a)
-            kw = s2 * ws[:, None] * k * ws[None, :]
-            out[c, 2 + t] = skat_p(float(((ws * u) ** 2).sum()), power_sums(kw))
             wa = a * beta[t] ** 2 / den
             pick = usable & (wa != 0)
             ps, cw = list(single[pick]), list(wa[pick])
@@ -90,6 +92,21 @@ def battery(u: np.ndarray, k: np.ndarray, maf: np.ndarray, chan: np.ndarray, n:
     return out.ravel()
 
 
+def _skat_batch(u: np.ndarray, k: np.ndarray, ws: np.ndarray, s2: float) -> np.ndarray:
+    """SKAT p-values of all weightings (channels x shapes x variants); matrices of small sets are decomposed together."""
+    flat = ws.reshape(-1, len(u))
+    together = max(1, SKAT_CELLS // max(1, k.size))
+    p = np.empty(len(flat))
+    for lo in range(0, len(flat), together):
+        w = flat[lo:lo + together]
+        lam = np.linalg.eigvalsh(s2 * w[:, :, None] * k * w[:, None, :])
+        lam = np.where(lam > LAMBDA_MIN, lam, 0.0)
+        sums = [(lam**x).sum(1) for x in (1, 2, 3, 4)]
+        q = ((w * u) ** 2).sum(1)
+        p[lo:lo + together] = np.where((sums[0] == 0.0) & np.isfinite(q), 1.0, liu_pvalue(q, *sums))
+    return p.reshape(ws.shape[:2])
+
+
 def covariance(cells: pd.DataFrame, m: int, h: np.ndarray, inv: np.ndarray, value: str = "s") -> np.ndarray:
     """Projected covariance from upper-triangle cross-product cells."""
     k = np.zeros((m, m))

@@ -164,3 +164,30 @@ def test_trimming_works_out_each_run_once(spark):
     df = spark.createDataFrame(rows, "r string, a string, p int").select("r", "a", "p", V.parsimonious("r", "a", "p").alias("v"))
     assert [(x.v.ref, x.v.alt, x.v.position) for x in df.collect() if x.r] == [trim(*x) for x in rows if x[0]]
     assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 2
+
+
+def test_weightings_of_a_small_set_are_decomposed_together(monkeypatch):
+    # A decomposition for each of 24 weightings took most of the time of small windows.
+    import numpy as np
+
+    from sparvar.operators import settests as ST
+
+    rng = np.random.default_rng(2)
+    n, m = 300, 15
+    g = rng.binomial(2, rng.uniform(0.005, 0.1, m), (n, m)).astype(float)
+    g[:, 3] = 0
+    k, u, maf, chan = g.T @ g - n * np.outer(g.mean(0), g.mean(0)), g.T @ rng.normal(size=n), g.mean(0) / 2, rng.uniform(0, 1, (11, m))
+    chan[4] = 0
+    beta, _ = ST.shape_weights(maf)
+    want = []
+    for a in [np.ones(m), *chan]:
+        for t in range(2):
+            ws = beta[t] * np.sqrt(a)
+            want.append(ST.skat_p(float(((ws * u) ** 2).sum()), ST.power_sums(ws[:, None] * k * ws[None, :])))
+    calls = []
+    real = np.linalg.eigvalsh
+    monkeypatch.setattr(np.linalg, "eigvalsh", lambda x: calls.append(1) or real(x))
+    got = ST.battery(u, k, maf, chan, n).reshape(12, 6)[:, 2:4].ravel()
+    assert len(calls) == 1 and np.allclose(got, want, rtol=1e-9)
+    monkeypatch.setattr(ST, "SKAT_CELLS", 500)
+    assert np.allclose(ST.battery(u, k, maf, chan, n).reshape(12, 6)[:, 2:4].ravel(), want, rtol=1e-9)
