@@ -3,7 +3,8 @@
 Distance is one minus Jaccard similarity and ``e = 1 - t``.  A region starts as the
 documents that share a prefix shingle: two sets of similarity ``t`` share one of the
 first ``n - ceil(t n) + 1`` shingles of each, in any common order, so regions lose no
-pair; the order puts shingles of crowded hash buckets last.  Each region has a pivot,
+pair; the order is by the number of sets that hold a shingle, counted over all texts, so
+most sets, with too few shingles of other sets, meet none.  Each region has a pivot,
 and the distances of its documents to the pivot cut it in two, as in a Voronoi diagram
 of the pivot and the rest: by the triangle inequality documents within ``e`` of the
 pivot are linked only to such within ``2e``, so the inner cell holds those within ``2e``,
@@ -18,7 +19,7 @@ share at most the smaller count of each cell), so whole sets are fetched only fo
 pairs that may be linked, and a document whose distance to the pivot stays unknown goes
 by its bound.  Documents of equal sets are one node throughout,
 so groups of copies cost one row each.  Intermediate tables are written to the shared
-folder; collected are only bucket counts and filter words of fixed size.
+folder; collected are only filter words of fixed size.
 
 Defined results: an empty set (null or wordless text) is linked with nothing; a text of
 fewer words than the shingle size is one shingle; rows without id take no part
@@ -38,10 +39,11 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import words as W
 
-ORDER_BITS = 18
 FILTER_BITS = 23
-PIVOTS = 64
+PIVOTS = 256
 CELLS = 256
+RUN_SHINGLES, RUN_TEXTS = 2_000_000, 1 << 16
+PART_SHINGLES = 1 << 22
 _FULL = 32767
 
 
@@ -71,19 +73,15 @@ def _print(own: np.ndarray) -> int:
     return int(W.mix(W.mix(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own))).view(np.int64)[0])
 
 
-def _bucket(own: np.ndarray) -> np.ndarray:
-    return (own >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+def _rows(size: int):
+    """Size and fingerprint of the set of each text."""
 
-
-def _crowding(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << ORDER_BITS, dtype=np.int64)
         for batch in batches:
             for part in W.blocks(batch, "text"):
-                for own in _sets(part.column("text"), size):
-                    np.add.at(total, _bucket(own), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+                sets = list(_sets(part.column("text"), size))
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("crc"), *columns], names=["id", "crc", "n", "fp"])
 
     return run
 
@@ -92,26 +90,86 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(size: int, percent: int, shared):
+class _Postings:
+    """Shingles of some texts, until written: a row a part, its texts by their place in the row."""
+
+    def __init__(self, parts: int):
+        self.parts = parts
+        self.sets: dict[int, np.ndarray] = {}
+        self.n = 0
+
+    def add(self, own: np.ndarray) -> None:
+        fp = _print(own)
+        if len(own) and fp not in self.sets:
+            self.sets[fp] = own
+            self.n += len(own)
+
+    def full(self) -> bool:
+        return self.n >= RUN_SHINGLES or len(self.sets) >= RUN_TEXTS
+
+    def rows(self) -> pa.RecordBatch:
+        prints = np.array(list(self.sets), dtype=np.int64)
+        own = np.concatenate(list(self.sets.values()))
+        text = np.repeat(np.arange(len(prints)), [len(s) for s in self.sets.values()])
+        part = (own >> np.uint64(32)).astype(np.int64) % self.parts
+        order = np.argsort(part, kind="stable")
+        low, text, edge = own[order].astype(np.uint32), text[order], np.searchsorted(part[order], np.arange(self.parts + 1))
+        columns: list[list] = [[], [], [], []]
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            at = text[edge[k] : edge[k + 1]]
+            new = np.append(True, at[1:] != at[:-1])
+            for column, v in zip(columns, (k, prints[at[new]].tobytes(), low[edge[k] : edge[k + 1]].tobytes(), (np.cumsum(new) - 1).astype(np.uint16).tobytes()), strict=True):
+                column.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(columns)], names=["part", "prints", "lows", "texts"])
+
+
+def _postings(size: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        held = _Postings(parts)
         for batch in batches:
-            for part in W.blocks(batch, "text"):
-                sizes, prints, keys, cells = [], [], [], []
-                for own in _sets(part.column("text"), size):
-                    sizes.append(len(own))
-                    prints.append(_print(own))
-                    order = np.lexsort((own, level[_bucket(own)]))[: prefix_length(len(own), percent) if len(own) else 0]
-                    keys.append(W.signed(own[order]))
-                    count = np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                    # A count beyond a short makes all cells full, which bounds nothing.
-                    cells.append((count if count.max() < _FULL else np.full(CELLS, _FULL)).astype(np.int16))
-                columns = [pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("crc"), *columns], names=["id", "crc", "n", "fp", "keys", "cells"])
+            for block in W.blocks(batch, "text"):
+                for own in _sets(block.column("text"), size):
+                    held.add(own)
+                    if held.full():
+                        yield held.rows()
+                        held = _Postings(parts)
+        if held.n:
+            yield held.rows()
 
     return run
 
 
+def _crowded(table: pa.Table) -> pa.Table:
+    """``(fp, m, keys)`` of a part: the keys of each set that others hold too, fewest holders first.
+
+    A key is its count of sets (at most ``_FULL``), the part and 32 bits of the shingle.
+    """
+    part = table.column("part")[0].as_py()
+    prints, lows, texts = ([np.frombuffer(b, dtype) for b in table.column(name).to_pylist()] for name, dtype in (("prints", np.int64), ("lows", np.uint32), ("texts", np.uint16)))
+    start = np.cumsum([0] + [len(p) for p in prints[:-1]])
+    kinds, first, code = np.unique(np.concatenate(prints), return_index=True, return_inverse=True)
+    at = np.concatenate([t + s for t, s in zip(texts, start, strict=True)])
+    # Of equal sets only one is counted, but all of its shingles, also those of equal low bits.
+    once = np.zeros(len(code), dtype=bool)
+    once[first] = True
+    keep = once[at]
+    both = (np.concatenate(lows)[keep].astype(np.uint64) << np.uint64(32)) | code[at[keep]].astype(np.uint64)
+    both.sort()
+    low = both >> np.uint64(32)
+    new = np.append(True, low[1:] != low[:-1])
+    nth = np.cumsum(new) - 1
+    df = np.bincount(nth, np.append(True, both[1:] != both[:-1])).astype(np.int64)[nth]
+    shared = df > 1
+    key = (np.minimum(df[shared], _FULL) << 48) | (part << 32) | low[shared].astype(np.int64)
+    own = (both[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort((key, own))
+    own, key = own[order], key[order]
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    edge = np.append(begin, len(own))
+    lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(key))
+    return pa.table([pa.array(kinds[own[begin]]), pa.array(np.diff(edge)), lists], names=["fp", "m", "keys"])
+
+
 def _sets_of(size: int, shared):
     """Sets of texts whose fingerprint passes the filter, each once in a task."""
 
@@ -119,7 +177,7 @@ def _sets_of(size: int, shared):
         bits, seen = shared.value, set()
         for batch in batches:
             for part in W.blocks(batch, "text"):
-                prints, sets = [], []
+                prints, sets, cells = [], [], []
                 for own in _sets(part.column("text"), size):
                     fp = _print(own)
                     spot = fp & ((1 << FILTER_BITS) - 1)
@@ -127,7 +185,10 @@ def _sets_of(size: int, shared):
                         seen.add(fp)
                         prints.append(fp)
                         sets.append(W.signed(own))
-                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "own"])
+                        count = np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                        # A count beyond a short makes all cells full, which bounds nothing.
+                        cells.append((count if count.max() < _FULL else np.full(CELLS, _FULL)).astype(np.int16).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["fp", "own", "cells"])
 
     return run
 
@@ -159,16 +220,29 @@ def _reaches(common, n_x, n_y, percent: int):
     return common * 100 >= (n_x + n_y - common) * percent
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct ``(x, y, near, open)`` by histograms: whether ``2e`` and ``e`` are within reach.
+def _bounds(percent: int):
+    """Whether ``2e`` (near) and ``e`` (open) are within reach, by histograms.
 
-    ``pairs`` has x, y, n and cells of both, and ``is_main``; only pairs with a main
-    pivot are kept when no link is within reach.
+    Only pairs with a main pivot are kept when no link is within reach.
     """
-    most = F.aggregate(F.zip_with("cells_x", "cells_y", lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c.cast("int"))
-    reach = [_reaches(F.col("most"), F.col("n_x"), F.col("n_y"), p) for p in (2 * percent - 100, percent)]
-    out = pairs.withColumn("most", most).select("x", "y", "is_main", reach[0].alias("near"), reach[1].alias("open"))
-    return out.where("is_main OR open").select("x", "y", "near", "open").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.int16).reshape(-1, CELLS) for c in ("cells_x", "cells_y")]
+            most = np.minimum(*cells).sum(1, dtype=np.int64)
+            both = np.asarray(batch.column("n_x")) + np.asarray(batch.column("n_y")) - most
+            near, linked = most * 100 >= both * (2 * percent - 100), most * 100 >= both * percent
+            keep = np.asarray(batch.column("is_main")).astype(bool) | linked
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep)), batch.column("y").filter(pa.array(keep)), pa.array(near[keep]), pa.array(linked[keep])], names=["x", "y", "near", "open"])
+
+    return run
+
+
+def _bounded(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Distinct ``(x, y, near, open)`` of ``(x, y, is_main)``: pairs met in many regions are compared once."""
+    once = pairs.groupBy("x", "y").agg(F.max("is_main").alias("is_main"))
+    whole = once.join(shape.toDF("x", "n_x", "cells_x"), "x").join(shape.toDF("y", "n_y", "cells_y"), "y")
+    return whole.select("x", "y", "is_main", "n_x", "n_y", "cells_x", "cells_y").mapInArrow(_bounds(percent), "x long, y long, near boolean, open boolean")
 
 
 def _single(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -184,57 +258,54 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(whole).alias("crc"), whole.alias("text"))
-    text = texts.select("text")
-    crowd = text.mapInArrow(_crowding(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 << ORDER_BITS)
-    counts[[r.bucket for r in crowd]] = [r.n for r in crowd]
-    # A shingle of many texts lifts its bucket by more than chance: levels of two deviations.
-    level = np.maximum(0, np.floor((counts - counts.mean()) / (2 * np.sqrt(counts.mean() + 1)))).astype(np.int64)
-
-    rows = texts.mapInArrow(_prefixes(size, percent, spark.sparkContext.broadcast(level)), "id long, crc long, n long, fp long, keys array<long>, cells array<smallint>")
-    prefixed = stored(rows.where("id IS NOT NULL AND n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("cells").alias("cells")), "prefixes")
+    rows = stored(texts.mapInArrow(_rows(size), "id long, crc long, n long, fp long"), "rows")
+    has = F.col("id").isNotNull() & (F.col("n") > 0)
+    distinct = stored(rows.where(has).groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "prints")
     # Ids that repeat with other texts get a node number of their own.
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("fp"))
     node = F.when(nth == 1, F.col("rep")).otherwise(F.col("fp").bitwiseOR(F.lit(-(1 << 63))))
-    names = stored(prefixed.select("fp", "rep", node.alias("node"), "n", "cells"), "nodes")
-    keyed = prefixed.select("fp", "keys").join(names.select("fp", "node"), "fp").select("node", F.explode("keys").alias("region"))
-    shared = keyed.groupBy("region").agg(F.min("node").alias("y"), F.max("node").alias("far")).where("y < far").select(F.bitwise_not("region").alias("r"), "y")
-    members = stored(keyed.join(shared, F.bitwise_not("region") == F.col("r")).select("region", "node", "y"), "shared")
+    names = stored(distinct.select("fp", "rep", node.alias("node"), "n"), "nodes")
+
+    # Shingles that no other set holds come first in the order, so a set whose other shingles
+    # do not reach into its prefix has no region.
+    text = texts.where("id IS NOT NULL").select("text")
+    parts = min(1 << 15, -(-(names.agg(F.sum("n")).first()[0] or 1) // PART_SHINGLES) + 5)
+    posts = text.mapInArrow(_postings(size, parts), "part long, prints binary, lows binary, texts binary")
+    held = stored(posts.groupBy("part").applyInArrow(_crowded, "fp long, m long, keys array<long>"), "crowded")
+    # The prefix is n - least + 1 long and begins with n - m shingles of no other set.
+    least = F.ceil(F.col("n") * percent / 100)
+    into = held.groupBy("fp").agg(F.sum("m").alias("m")).join(names.select("fp", "node", "n"), "fp").select("fp", "node", "n", (F.col("m") - least + 1).cast("int").alias("k")).where("k > 0")
+    keys = held.join(into, "fp").groupBy("node").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.flatten(F.collect_list("keys")).alias("keys"))
+    # Sets whose shingles many others hold stand in the middle of near copies: they make good pivots.
+    held_by = F.aggregate("keys", F.lit(0).cast("long"), lambda s, key: s + F.shiftright(key, 48))
+    keys = keys.withColumn("rank", -F.floor(held_by / F.col("n")))
+    keyed = stored(keys.select("node", "rank", F.explode(F.array_distinct(F.slice(F.array_sort("keys"), F.lit(1), F.col("k")))).alias("region")), "keyed")
+    shared = keyed.groupBy("region").agg(F.min_by("node", F.struct("rank", "node")).alias("y"), F.count("*").alias("size")).where("size > 1").select(F.bitwise_not("region").alias("r"), "y")
+    members = stored(keyed.join(shared, F.bitwise_not("region") == F.col("r")).select("region", "node", "rank", "y"), "shared")
     # Near copies share most of their prefixes: regions of the same documents are kept once.
     one = members.groupBy("region").agg(F.bit_xor(F.xxhash64("node")).alias("sign"), F.sum(F.hash("node").cast("long")).alias("sum"), F.count("*").alias("size"))
     one = one.groupBy("sign", "sum", "size").agg(F.min("region").alias("region")).select("region")
     members = stored(members.join(one, "region"), "regions")
 
-    used = stored(members.select("node").distinct().join(names, "node").select("node", "fp", "n", "cells"), "used")
-
-    def fetched(wanted: DataFrame) -> DataFrame:
-        """Sets of nodes, picked from the texts by a filter of fixed size and then exactly."""
-        prints = stored(wanted.join(used.select("node", "fp"), "node").select("node", "fp"), "wanted")
-        spot = prints.select(F.col("fp").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("spot"))
-        filled = spot.select(F.shiftright("spot", 6).alias("w"), F.expr("shiftleft(1L, CAST(spot & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
-        bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-        bits[[r.w for r in filled]] = [r.b for r in filled]
-        picked = text.mapInArrow(_sets_of(size, spark.sparkContext.broadcast(bits.view(np.uint64))), "fp long, own array<long>")
-        return stored(prints.join(picked, "fp").groupBy("node").agg(F.first("own").alias("own")), "sets")
+    # Sets of the nodes met, picked from the texts by a filter of fixed size and then exactly.
+    prints = stored(members.select("node", "rank").distinct().join(names, "node").select("node", "fp", "n", "rank"), "used")
+    spot = prints.select(F.col("fp").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("spot"))
+    filled = spot.select(F.shiftright("spot", 6).alias("w"), F.expr("shiftleft(1L, CAST(spot & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    bits[np.asarray(filled.column("w"))] = np.asarray(filled.column("b"))
+    picked = text.mapInArrow(_sets_of(size, spark.sparkContext.broadcast(bits.view(np.uint64))), "fp long, own array<long>, cells binary")
+    sets = stored(prints.join(picked, "fp").groupBy("node").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("cells").alias("cells")), "sets")
 
     linked = _reaches(F.col("common"), F.col("n_x"), F.col("n_y"), percent)
     width = (100 - percent) / 100
     distance = 1 - F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common"))
-    shape = used.select("node", "n", "cells")
-    as_x = shape.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("cells").alias("cells_x"))
-    as_y = shape.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("cells").alias("cells_y"))
-    # The first pivot of a region is its smallest node.
-    first = members.where("node != y").select(F.col("node").alias("x"), "y").distinct().withColumn("is_main", F.lit(True))
-    pairs = stored(_bounded(first.join(as_x, "x").join(as_y, "y"), percent), "pairs")
+    shape = sets.select("node", "n", "cells")
+    first = members.where("node != y").select(F.col("node").alias("x"), "y", F.lit(True).alias("is_main"))
+    pairs = stored(_bounded(first, shape, percent), "pairs")
     members = members.where("node != y").select("region", "node", F.col("y").alias("main"))
-    links, sets, comp = None, None, None
+    links, comp = None, None
     while True:
         asked = pairs.where("open").select("x", "y")
-        wanted = asked.select(F.col("x").alias("node")).unionByName(asked.select(F.col("y").alias("node"))).distinct()
-        if sets is None:
-            sets = fetched(wanted)
-        elif not (missing := wanted.join(sets.select("node"), "node", "left_anti")).isEmpty():
-            sets = sets.unionByName(fetched(missing))
         found = stored(_measured(asked, sets), "distances")
         new = found.where(linked).select("x", "y")
         if links is None or not new.isEmpty():
@@ -253,13 +324,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         live = stored(_single(split, comp), "live")
         if live.isEmpty():
             break
-        heads = live.groupBy("region", "comp").agg(F.min("node").alias("y"))
-        heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("comp"))).where(F.col("k") <= PIVOTS)
-        heads = stored(heads.select("region", F.col("comp").alias("p_comp"), "y", (F.col("k") == 1).alias("is_main")), "pivots")
+        ranked = live.join(prints.select("node", "n", "rank"), "node")
+        heads = ranked.groupBy("region", "comp").agg(F.min(F.struct("rank", "node", "n")).alias("y"))
+        heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("y"))).where(F.col("k") <= PIVOTS)
+        heads = stored(heads.select("region", F.col("comp").alias("p_comp"), F.col("y.node").alias("y"), F.col("y.n").alias("n_y"), (F.col("k") == 1).alias("is_main")), "pivots")
+        # One row a region and document carries the pivots, and each document lists them once.
         # Sizes bound similarity too, and cost least to compare.
-        alike = F.col("is_main") | ((F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent))
-        met = live.join(as_x, F.col("node") == F.col("x")).join(heads.join(as_y, "y").withColumnRenamed("region", "r"), (F.col("region") == F.col("r")) & alike)
-        pairs = stored(_bounded(met.where((F.col("x") != F.col("y")) & (F.col("is_main") | (F.col("comp") != F.col("p_comp")))), percent), "pairs")
+        offered = heads.groupBy(F.col("region").alias("r")).agg(F.collect_list(F.struct("y", "n_y", "p_comp", "is_main")).alias("offered"))
+        met = ranked.join(offered, F.col("region") == F.col("r")).withColumn("offered", F.filter("offered", lambda h: (h.y != F.col("node")) & (h.is_main | ((h.p_comp != F.col("comp")) & (F.col("n") * 100 >= h.n_y * percent) & (h.n_y * 100 >= F.col("n") * percent)))))
+        met = met.select("node", F.transform("offered", lambda h: h.y).alias("ys"), F.transform(F.filter("offered", lambda h: h.is_main), lambda h: h.y).alias("own"))
+        met = met.groupBy(F.col("node").alias("x")).agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
+        met = met.select("x", F.explode("ys").alias("y"), "own").select("x", "y", F.array_contains("own", F.col("y")).alias("is_main"))
+        pairs = stored(_bounded(met, shape, percent), "pairs")
         mains = heads.where("is_main").select("region", F.col("y").alias("main"))
         rest = live.join(heads.select("region", F.col("y").alias("node")), ["region", "node"], "left_anti")
         members = stored(rest.select("region", "node").join(mains, "region"), "members")
@@ -267,7 +343,5 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = names.join(comp, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"), "rep")
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))
     final = labels.join(least, "comp").select("fp", "component_id")
-    own = rows.select("id", "crc", "n", "fp")
-    has = F.col("id").isNotNull() & (F.col("n") > 0)
-    out = own.join(final, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.when(has, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("crc").alias("text_crc"))
+    out = rows.join(final, "fp", "left").select("id", F.col("n").alias("n_shingles"), F.when(has, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("crc").alias("text_crc"))
     return out.withColumnRenamed("id", id_col)

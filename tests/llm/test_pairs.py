@@ -160,3 +160,18 @@ def test_pipeline_keeps_clashing_columns(spark, tmp_path):
         assert all(r[c] == (f"{c}{r.doc_id}" if r.doc_id is not None else "x") for r in rows for c in CLASHES)
     last = P.encode_pieces(spark, docs.withColumnsRenamed({"body": "ids", "base": "n_tokens"}), sf)
     assert last.count() == docs.count() and last.where("size(ids) <> n_tokens").isEmpty()
+
+
+def test_shingles_that_many_share_open_no_region(spark, make, monkeypatch):
+    """Texts that share a line but are not alike are met by none, at any number of parts."""
+    kept = []
+    write = jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, label: kept.append((label, write(df, label))) or kept[-1][1])
+    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", 500)
+    monkeypatch.setattr(jaccard_join, "RUN_TEXTS", 7)
+    line = " ".join(f"common{k}" for k in range(12))
+    rows = [(i, line + " " + " ".join(f"u{i}_{k}" for k in range(20))) for i in range(120)]
+    rows += [(200 + i, rows[0][1] + f" more{i}") for i in range(3)] + [(300, rows[5][1])]
+    got = jaccard_join.near_components(make(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
+    assert {r.node for r in dict(kept)["shared"].select("node").collect()} == {0, 200, 201, 202}
