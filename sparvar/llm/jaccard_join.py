@@ -246,10 +246,13 @@ def _bounded(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
 
 
 def _single(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members with their component, of regions that still hold two; equal regions once."""
+    """Members with their component, of regions that still hold two; equal regions once.
+
+    Of equal ones that of the least key stays: the first common key of two sets is never dropped.
+    """
     placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    state = placed.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("node")).alias("sign"), F.sum(F.hash("node").cast("long")).alias("sum"), F.count("*").alias("size"))
-    live = state.where("c0 < c1").groupBy("sign", "sum", "size").agg(F.min("region").alias("region"))
+    state = placed.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("node")).alias("sign"), F.sum(F.hash("node").cast("long")).alias("sum"), F.count("*").alias("size"), F.first("key").alias("key"))
+    live = state.where("c0 < c1").groupBy("sign", "sum", "size").agg(F.min_by("region", F.struct("key", "region")).alias("region"))
     return placed.join(live.select("region"), "region")
 
 
@@ -274,15 +277,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = stored(posts.groupBy("part").applyInArrow(_crowded, "fp long, m long, keys array<long>"), "crowded")
     # The prefix is n - least + 1 long and begins with n - m shingles of no other set.
     least = F.ceil(F.col("n") * percent / 100)
-    into = held.groupBy("fp").agg(F.sum("m").alias("m")).join(names.select("fp", "node", "n"), "fp").select("fp", "node", "n", (F.col("m") - least + 1).cast("int").alias("k")).where("k > 0")
-    keys = held.join(into, "fp").groupBy("node").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.flatten(F.collect_list("keys")).alias("keys"))
+    into = held.groupBy("fp").agg(F.sum("m").alias("m")).join(names.select("fp", "node", "n"), "fp").select("fp", "node", "n", (F.col("n") - F.col("m")).alias("alone"), (F.col("m") - least + 1).cast("int").alias("k")).where("k > 0")
+    keys = held.join(into, "fp").groupBy("node").agg(F.first("k").alias("k"), F.first("n").alias("n"), F.first("alone").alias("alone"), F.flatten(F.collect_list("keys")).alias("keys"))
     # Sets whose shingles many others hold stand in the middle of near copies: they make good pivots.
     held_by = F.aggregate("keys", F.lit(0).cast("long"), lambda s, key: s + F.shiftright(key, 48))
     keys = keys.withColumn("rank", -F.floor(held_by / F.col("n")))
-    keyed = stored(keys.select("node", "rank", F.explode(F.array_distinct(F.slice(F.array_sort("keys"), F.lit(1), F.col("k")))).alias("region")), "keyed")
+    # ``left`` counts a set's shingles from a key on in the order: no two sets share more than
+    # the smaller left of their first common key.
+    keys = keys.withColumn("keys", F.slice(F.array_sort("keys"), F.lit(1), F.col("k")))
+    placed = F.transform("keys", lambda key, i: F.struct(key.alias("region"), (F.col("n") - F.col("alone") - i).alias("left")))
+    placed = F.filter(placed, lambda e, i: (i == 0) | (e.region != F.get(F.col("keys"), i - 1)))
+    keyed = stored(keys.select("node", "rank", F.explode(placed).alias("e")).select("node", "rank", "e.region", "e.left"), "keyed")
     shared = keyed.groupBy("region").agg(F.min_by("node", F.struct("rank", "node")).alias("y"), F.count("*").alias("size")).where("size > 1").select(F.bitwise_not("region").alias("r"), "y")
-    members = stored(keyed.join(shared, F.bitwise_not("region") == F.col("r")).select("region", "node", "rank", "y"), "shared")
-    # Near copies share most of their prefixes: regions of the same documents are kept once.
+    members = stored(keyed.join(shared, F.bitwise_not("region") == F.col("r")).select("region", "node", "rank", "left", "y"), "shared")
+    # Near copies share most of their prefixes: regions of the same documents are kept once, the
+    # first in the order.
     one = members.groupBy("region").agg(F.bit_xor(F.xxhash64("node")).alias("sign"), F.sum(F.hash("node").cast("long")).alias("sum"), F.count("*").alias("size"))
     one = one.groupBy("sign", "sum", "size").agg(F.min("region").alias("region")).select("region")
     members = stored(members.join(one, "region"), "regions")
@@ -302,7 +311,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shape = sets.select("node", "n", "cells")
     first = members.where("node != y").select(F.col("node").alias("x"), "y", F.lit(True).alias("is_main"))
     pairs = stored(_bounded(first, shape, percent), "pairs")
-    members = members.where("node != y").select("region", "node", F.col("y").alias("main"))
+    members = members.where("node != y").select("region", F.col("region").alias("key"), "node", "left", F.col("y").alias("main"))
     links, comp = None, None
     while True:
         asked = pairs.where("open").select("x", "y")
@@ -320,25 +329,30 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         inner = F.coalesce(F.col("d") < 2 * width + 1e-9, F.col("near"), F.lit(False))
         outer = F.coalesce(F.col("d") > width - 1e-9, F.lit(True))
         cells = F.array_compact(F.array(F.when(inner, 0), F.when(outer, 1)))
-        split = placed.select("region", "node", F.explode(cells).alias("cell")).select(F.xxhash64("region", "cell").alias("region"), "node")
+        split = placed.select("region", "key", "node", "left", F.explode(cells).alias("cell")).select(F.xxhash64("region", "cell").alias("region"), "key", "node", "left")
         live = stored(_single(split, comp), "live")
         if live.isEmpty():
             break
         ranked = live.join(prints.select("node", "n", "rank"), "node")
-        heads = ranked.groupBy("region", "comp").agg(F.min(F.struct("rank", "node", "n")).alias("y"))
+        heads = ranked.groupBy("region", "comp").agg(F.min(F.struct("rank", "node", "n", "left")).alias("y"))
         heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("region").orderBy("y"))).where(F.col("k") <= PIVOTS)
-        heads = stored(heads.select("region", F.col("comp").alias("p_comp"), F.col("y.node").alias("y"), F.col("y.n").alias("n_y"), (F.col("k") == 1).alias("is_main")), "pivots")
+        heads = stored(heads.select("region", F.col("comp").alias("p_comp"), F.col("y.node").alias("y"), F.col("y.n").alias("n_y"), F.col("y.left").alias("left_y"), (F.col("k") == 1).alias("is_main")), "pivots")
         # One row a region and document carries the pivots, and each document lists them once.
-        # Sizes bound similarity too, and cost least to compare.
-        offered = heads.groupBy(F.col("region").alias("r")).agg(F.collect_list(F.struct("y", "n_y", "p_comp", "is_main")).alias("offered"))
-        met = ranked.join(offered, F.col("region") == F.col("r")).withColumn("offered", F.filter("offered", lambda h: (h.y != F.col("node")) & (h.is_main | ((h.p_comp != F.col("comp")) & (F.col("n") * 100 >= h.n_y * percent) & (h.n_y * 100 >= F.col("n") * percent)))))
+        # What both have left after the region's key, if it is their first common one, bounds
+        # similarity too, and costs least to compare.
+        offered = heads.groupBy(F.col("region").alias("r")).agg(F.collect_list(F.struct("y", "n_y", "left_y", "p_comp", "is_main")).alias("offered"))
+
+        def meets(h):
+            return (h.y != F.col("node")) & (h.is_main | ((h.p_comp != F.col("comp")) & _reaches(F.least(F.col("left"), h.left_y), F.col("n"), h.n_y, percent)))
+
+        met = ranked.join(offered, F.col("region") == F.col("r")).withColumn("offered", F.filter("offered", meets))
         met = met.select("node", F.transform("offered", lambda h: h.y).alias("ys"), F.transform(F.filter("offered", lambda h: h.is_main), lambda h: h.y).alias("own"))
         met = met.groupBy(F.col("node").alias("x")).agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"), F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"))
         met = met.select("x", F.explode("ys").alias("y"), "own").select("x", "y", F.array_contains("own", F.col("y")).alias("is_main"))
         pairs = stored(_bounded(met, shape, percent), "pairs")
         mains = heads.where("is_main").select("region", F.col("y").alias("main"))
         rest = live.join(heads.select("region", F.col("y").alias("node")), ["region", "node"], "left_anti")
-        members = stored(rest.select("region", "node").join(mains, "region"), "members")
+        members = stored(rest.select("region", "key", "node", "left").join(mains, "region"), "members")
 
     labels = names.join(comp, "node", "left").select("fp", F.coalesce("comp", "node").alias("comp"), "rep")
     least = labels.groupBy("comp").agg(F.min("rep").alias("component_id"))

@@ -175,3 +175,10 @@ def test_shingles_that_many_share_open_no_region(spark, make, monkeypatch):
     got = jaccard_join.near_components(make(rows)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
     assert {r.node for r in dict(kept)["shared"].select("node").collect()} == {0, 200, 201, 202}
+
+
+def test_many_rounds_of_few_pivots_lose_no_link(make, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 8)
+    rows = near_rows()
+    got = jaccard_join.near_components(make(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows)
