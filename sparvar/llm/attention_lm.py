@@ -7,9 +7,10 @@ id, depending on the class of the id before it.  So
     P(next) = P(class | attention over the context) * P(next | class, class before)
 
 All training texts are learned from, in tasks.  Classes come from what stands before and
-after each id in the whole corpus.  Attention weights start from a fit to about ``MAX_IDS``
-sampled ids; then every task takes gradient steps on all its texts, and the moves of the
-tasks are averaged, each row of weights by the ids that moved it.
+after each id in the whole corpus, and so does each id's first row of weights.  Then tasks
+take gradient steps, in rounds that each have a share of the training texts, and the moves
+of the tasks are averaged after a round, each row of weights by the ids that moved it.
+Every training text is in one round; nothing is sampled.
 
 Scoring cuts each text into windows of ``CONTEXT + STEP`` ids that overlap by
 ``CONTEXT``: a window scores its last ``STEP`` ids, so each id is scored once, with at
@@ -28,7 +29,6 @@ from . import words as W
 
 CONTEXT, STEP = 8, 24
 WIDTH, HEAD, HIDDEN, CLASSES = 24, 16, 32, 64
-MAX_IDS = 600_000
 NEIGHBOURS = 192
 
 
@@ -196,27 +196,30 @@ class Learner:
             p -= 0.25 * rate * g / np.sqrt(s)
 
 
-def train(ids: np.ndarray, class_of: np.ndarray, size: int, epochs: int = 6, batch: int = 64, rate: float = 0.08) -> Learner:
-    """First weights, from windows of one long run of ids."""
-    learner, length = Learner(initial(size)), CONTEXT + STEP
-    used = (len(ids) - 1) // length * length
-    if used == 0:
-        return learner
-    x, y = ids[:used].reshape(-1, length), class_of[ids[1 : used + 1]].reshape(-1, length)
-    rng = np.random.default_rng(5)
-    for epoch in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), batch):
-            pick = order[at : at + batch]
-            learner.step(x[pick], y[pick], rate * (1 - epoch / (epochs + 1)))
-    return learner
+def first_weights(count: np.ndarray, features: np.ndarray) -> Weights:
+    """Weights whose row of each id are the main directions of what stands before and after it.
+
+    ``features`` is as in ``classes``; ids that do not occur keep a random row.
+    """
+    w = initial(len(count))
+    met = np.flatnonzero(count > 0)
+    if len(met) > WIDTH:
+        own = features[met]
+        own = np.sqrt(own / np.maximum(own.sum(1, keepdims=True), 1))
+        mass = (count[met] / count[met].sum()).astype(np.float32)[:, None]
+        own -= (own * mass).sum(0)
+        _, directions = np.linalg.eigh((own * mass).T @ own)
+        own = own @ directions[:, ::-1][:, :WIDTH]
+        w.embed[met] = own * (np.float32(0.3) / np.maximum(np.sqrt((own * own).mean()), 1e-6))
+    return w
 
 
 class Pass:
     """One pass of a learner over runs of ids, all of which are learned from."""
 
-    def __init__(self, learner: Learner, class_of: np.ndarray, end: int, batch: int = 64, rate: float = 0.02):
+    def __init__(self, learner: Learner, class_of: np.ndarray, end: int, batch: int = 64, rate: float = 0.08):
         self.start, self.learner = as_rows(learner.w), learner.copy()
+        self.start_sums = as_rows(Weights(*learner.sums))
         self.class_of, self.batch, self.rate = class_of, batch, rate
         self.size = len(class_of)
         self.seen = np.zeros(self.size)
@@ -252,6 +255,10 @@ class Pass:
         at = np.flatnonzero(n)
         return at, n[at], move[at] * n[at, None]
 
+    def sums_moves(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """As ``moves``, of the learner's sums of squares, for the rows ``at``."""
+        return (as_rows(Weights(*self.learner.sums)) - self.start_sums)[at] * n[:, None]
+
 
 def as_rows(w: Weights) -> np.ndarray:
     """All weights as rows of ``WIDTH``: one for each id, then the others in order."""

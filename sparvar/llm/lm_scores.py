@@ -31,6 +31,7 @@ NO_ID = -(1 << 63)
 _ROWS = "h long, word binary, c long, run long, posts binary, ids binary, crcs binary"
 _MOST = 255
 HELD_TEXTS = 2_000_000
+ROUNDS, EPOCHS, TASK_IDS = 4, 6, 3_600_000
 
 
 class _Run:
@@ -194,26 +195,15 @@ def _learn(path: str, shared, end: int):
             np.add.at(total, class_of[before] * size + ids, 1)
             one.add(ids)
         for counts in _sparse(total):
-            yield pa.RecordBatch.from_arrays([*counts.columns, pa.nulls(counts.num_rows, pa.list_(pa.float64()))], names=["k", "n", "move"])
+            yield pa.RecordBatch.from_arrays([*counts.columns, pa.nulls(counts.num_rows, pa.list_(pa.float32()))], names=["k", "n", "move"])
         at, n, move = one.moves()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * A.WIDTH), pa.array(move.ravel()))
+        both = np.hstack([move, one.sums_moves(at, n)]).astype(np.float32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * both.shape[1]), pa.array(both.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n), lists], names=["k", "n", "move"])
 
     return run
 
 
-def _ids(path: str, end: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = A.WordIds(path)
-        for batch in batches:
-            for part in W.blocks(batch, "text"):
-                block = W.Block(part.column("text"), W.NOT_SPACE, True)
-                ids, starts = ids_of.of_block(block, block.word_hashes(), end)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["ids"])
-
-    return run
-
-
 def _scores(path: str, shared, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids_of = shared.value, A.WordIds(path)
@@ -232,8 +222,11 @@ def _dense(counts: pa.Table, size: int, dtype=float) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, learn: Column, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", max_ids: int = A.MAX_IDS) -> DataFrame:
-    """``(id, n_tokens, n_known, train_tokens, base_score, score)`` per row; ``learn`` is a condition on ``docs``."""
+def score_texts(docs: DataFrame, learn: Column, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", max_ids: int | None = None) -> DataFrame:
+    """``(id, n_tokens, n_known, train_tokens, base_score, score)`` per row; ``learn`` is a condition on ``docs``.
+
+    ``max_ids`` has no effect: nothing is sampled.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text).alias("crc"), text.alias("text"), (F.coalesce(learn, F.lit(False)) & F.col(id_col).isNotNull()).alias("train"))
@@ -252,17 +245,28 @@ def score_texts(docs: DataFrame, learn: Column, tokenizer: str, end: int, id_col
     spot = spark.sparkContext.broadcast(A.spots(often))
     near = texts.mapInArrow(_neighbours(tokenizer, spot, end), "k long, n double").groupBy("k").agg(F.sum("n").alias("n"))
     near = near.select(F.col("k").cast("int").alias("k"), F.col("n").cast("float").alias("n")).toArrow()
-    class_of = A.classes(often, _dense(near, size * 2 * A.NEIGHBOURS, np.float32).reshape(size, -1))
+    near = _dense(near, size * 2 * A.NEIGHBOURS, np.float32).reshape(size, -1)
+    class_of, first = A.classes(often, near), A.Learner(A.first_weights(often, near))
     del near
-    share = min(1.0, max_ids / max(1.0, 2.6 * total.n + ends))
-    picked = rows.where(F.col("train") & (F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(1 << 30)) < int(share * (1 << 30))))
-    lists = picked.select("text").mapInArrow(_ids(tokenizer, end), "ids array<int>").toArrow().column("ids")
-    first = A.train(np.concatenate([[end], *[np.asarray(x.values) for x in lists]]).astype(np.int64), class_of, size)
-    shared = spark.sparkContext.broadcast((first, class_of))
-    learned = stored(texts.mapInArrow(_learn(tokenizer, shared, end), "k long, n double, move array<double>"), "learned")
-    table = _dense(learned.where("move IS NULL").groupBy("k").agg(F.sum("n").alias("n")).toArrow(), A.CLASSES * size).reshape(-1, size)
-    moves = learned.where("move IS NOT NULL").groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("move")[i]).alias(f"m{i}") for i in range(A.WIDTH)]).toArrow()
-    weights = A.moved(first.w, np.asarray(moves.column("k")).astype(np.int64), np.asarray(moves.column("n")), np.stack([np.asarray(moves.column(f"m{i}")) for i in range(A.WIDTH)], axis=1))
+    # Many texts are learned from in one epoch, cut into rounds that each take a share of them and
+    # average; few in several epochs, each a round.  A task gets enough ids to learn from.
+    n_ids = max(1, int(often.sum()))
+    shares = ROUNDS if n_ids >= TASK_IDS else 1
+    epochs = min(EPOCHS, -(-TASK_IDS // n_ids))
+    turn = F.pmod(F.xxhash64("id", "crc", F.lit("lm")), F.lit(shares))
+    table = np.zeros(A.CLASSES * size)
+    for k in range(shares * epochs):
+        shared = spark.sparkContext.broadcast((first, class_of))
+        own = rows.where(F.col("train") & (turn == k % shares)).select("text").coalesce(max(1, n_ids // TASK_IDS))
+        learned = stored(own.mapInArrow(_learn(tokenizer, shared, end), "k long, n double, move array<float>"), "learned")
+        if k < shares:  # later epochs count the same ids
+            table += _dense(learned.where("move IS NULL").groupBy("k").agg(F.sum("n").alias("n")).toArrow(), A.CLASSES * size)
+        moves = learned.where("move IS NOT NULL").groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(F.col("move")[i]).alias(f"m{i}") for i in range(2 * A.WIDTH)]).toArrow()
+        at, n = np.asarray(moves.column("k")).astype(np.int64), np.asarray(moves.column("n"))
+        total_moves = np.stack([np.asarray(moves.column(f"m{i}")) for i in range(2 * A.WIDTH)], axis=1)
+        first = A.Learner(A.moved(first.w, at, n, total_moves[:, : A.WIDTH]), A.moved(A.Weights(*first.sums), at, n, total_moves[:, A.WIDTH :]).all())
+        shared.unpersist()
+    weights, table = first.w, table.reshape(-1, size)
     model = spark.sparkContext.broadcast(A.Model(weights, class_of, A.within_class(table, class_of)))
     attention = rows.select("id", "crc", "text").mapInArrow(_scores(tokenizer, model, end), "id long, crc long, n_tokens long, attention double")
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparvar.llm import attention_lm as A
@@ -160,3 +161,21 @@ def test_an_empty_class_takes_no_probability():
     live = np.zeros(y.shape, dtype=bool)
     live[:, -1] = True
     assert abs((10.0 ** model._windows(x, y, live).astype(float)).sum() - 1) < 1e-3
+
+
+@pytest.mark.parametrize("task_ids", [500, 1])
+def test_weights_come_from_every_training_text(spark, make, monkeypatch, task_ids):
+    """Rounds by shares of the texts, or epochs over all: no text is left out, none is sampled."""
+    rows = [(i, f"alpha beta {'gamma' if i % 2 else 'delta'} word{i} again") for i in range(200)]
+    seen, counts = [], []
+    moved, within = A.moved, A.within_class
+    monkeypatch.setattr(A, "moved", lambda w, at, n, m: seen.append(n.max()) or moved(w, at, n, m))
+    monkeypatch.setattr(A, "within_class", lambda t, c: counts.append(t.sum()) or within(t, c))
+    monkeypatch.setattr(lm_scores, "TASK_IDS", task_ids * 10)
+    path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    first = lm_scores.score_texts(make(rows), F.lit(True), path, queries.SEPARATOR).orderBy("doc_id").collect()
+    enc = A.tokenizer(path)
+    want = sum(1 + len(enc.encode_ordinary(" " + t)) for _, t in rows)
+    epochs = max(1, -(-task_ids * 10 // want))
+    assert sum(seen) == 2 * want * epochs and counts == [want]  # weights and their sums of squares
+    assert first == lm_scores.score_texts(make(rows), F.lit(True), path, queries.SEPARATOR, max_ids=1).orderBy("doc_id").collect()
