@@ -15,10 +15,14 @@ from . import gram
 from .masks import SEGMENT_BP, assign_segments, mask_array
 from .nullmodel import NullModel
 from .score import h_cols, variant_scores
-from .settests import W_COLS, battery
+from .setsums import Layer, battery_p, moments_p, run_sums, single_burden, single_p
+from .settests import W_COLS, Cells, battery
 
-FORMAT_VERSION = 2
+FORMAT_VERSION = 3
 RIDGE = 1e-8
+#: Masks of more variants are tested from sums where few of their pairs share a carrier; rows of a tile there.
+SMALL = 256
+TILE = 512
 TEXT_FIELDS = ["gene_name", "region_type", "consequence", "metasvm_pred", "genehancer"]
 FLAG_FIELDS = ["is_cage_promoter", "is_cage_enhancer", "is_ccre_promoter", "is_ccre_enhancer"]
 
@@ -30,52 +34,37 @@ def emit_sumstats(index: DataFrame, carriers: DataFrame, null: NullModel, width:
     """(variants, segments) of one study, statistics pre-divided by sigma^2.
 
     ``index``: variant_id, chromosome, position, ref, alt, maf, annotation and
-    weights.  A segment's packed lower triangle is built in one task; segments
-    hold at most ``limit`` variants, so that group is bounded.  Covariance between two
-    segments of a chromosome is kept as the non-zero products of their variants, one row
-    a pair of segments (``other_id``, ``cross``), and ``h``, ``hc`` of every variant, whose
-    product is the projection.
+    weights.  A segment holds at most ``limit`` variants.  Its row lists their sites, ``g`` of
+    each, whose inner products are the projection, and ``cross``, the non-zero products of two
+    of its variants; two segments of a chromosome that share carriers have a row of their own
+    (``other_id``).  Pairs without a common carrier follow from ``g`` and are not stored.
     """
+    from .cohort import ordered_rank
+
     seg = assign_segments(index, width, limit)
     hs, s2, n = h_cols(null), null.sigma2, null.n
     scores = variant_scores(carriers, null).select("variant_id", "u", "k", *hs)
-    rows = seg.join(scores, "variant_id", "left").fillna(0.0, subset=["u", "k", *hs])
+    rows = cut_lineage(seg.join(scores, "variant_id", "left").fillna(0.0, subset=["u", "k", *hs]))  # read by variants, sites and products
     variants = rows.select(
         "chromosome", "position", "ref", "alt", "maf",
         F.round(2 * F.col("maf") * n).cast("int").alias("mac"), F.lit(n).cast("int").alias("n_obs"),
         (F.col("u") / s2).alias("u_stat"), (F.col("k") / s2).alias("v_stat"), "segment_id",
         *TEXT_FIELDS, F.col("cadd_phred").alias("cadd_phred_raw"), "revel", *FLAG_FIELDS, *W_COLS,
     )
-    keyed = rows.withColumn("set_id", F.concat_ws("|", "chromosome", F.col("segment_id").cast("string")))
-    from .cohort import ordered_rank
-
-    ranked = ordered_rank(keyed, ["set_id"], F.floor(F.col("position") / 4096), ["position", "ref", "alt"], "j").withColumn("j", F.col("j").cast("int"))
-    whole = ranked.select(F.col("chromosome").alias("set_id"), "variant_id", (F.col("segment_id") * limit + F.col("j")).cast("int").alias("j"))
+    at = ["chromosome", "segment_id"]
+    ranked = ordered_rank(rows, at, F.floor(F.col("position") / 4096), ["position", "ref", "alt"], "j").withColumn("j", F.col("j").cast("int"))
+    root = np.linalg.cholesky(null.cov_inv / s2)
+    g = F.array(*[sum((F.lit(float(root[i, q])) * F.col(h) for i, h in enumerate(hs)), F.lit(0.0)) for q in range(len(hs))])
+    sites = ranked.select(*at, "j", "position", "ref", "alt", g.alias("g")).groupBy(*at).agg(
+        F.sort_array(F.collect_list(F.struct("j", "position", "ref", "alt", "g"))).alias("z"))  # at most one segment's variants
+    sites = sites.select(*at, F.size("z").alias("n_variants"), F.col("z.position").alias("positions"), F.col("z.ref").alias("refs"), F.col("z.alt").alias("alts"), F.col("z.g").alias("g"))
+    whole = ranked.select(F.col("chromosome").alias("set_id"), "variant_id", (F.col("segment_id").cast("long") * limit + F.col("j")).cast("int").alias("j"))
     every = gram.pair_products(whole, carriers, null.vectors.select("sample_idx", "w")).select(
-        F.col("set_id").alias("chromosome"), *[F.floor(F.col(f"j{i}") / limit).cast("int").alias(f"_s{i}") for i in (1, 2)],
-        *[(F.col(f"j{i}") % limit).alias(f"j{i}") for i in (1, 2)], "s")
-    cells = every.where("_s1 = _s2").select(F.concat_ws("|", "chromosome", F.col("_s1").cast("string")).alias("k_set"), "j1", "j2", "s")
-    cross = every.where("_s1 < _s2").groupBy("chromosome", F.col("_s1").alias("segment_id"), F.col("_s2").alias("other_id")).agg(
-        F.collect_list(F.struct(F.col("j1").alias("i"), F.col("j2").alias("j"), (F.col("s") / s2).alias("s"))).alias("cross"))
-    inv = null.cov_inv
-
-    def pack(key, v: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        from .settests import covariance
-
-        v = v.sort_values("j")
-        h = v[hs].to_numpy(float)
-        k = covariance(c, len(v), h, inv) / s2
-        lower = k[np.tril_indices(len(v))]
-        return pd.DataFrame([(
-            v["chromosome"].iloc[0], int(v["segment_id"].iloc[0]), len(v), v["position"].tolist(),
-            v["ref"].tolist(), v["alt"].tolist(), lower, h.tolist(), (h @ inv / s2).tolist(),
-        )], columns=["chromosome", "segment_id", "n_variants", "positions", "refs", "alts", "cov_lower", "h", "hc"])
-
-    segments = ranked.select("set_id", "chromosome", "segment_id", "j", "position", "ref", "alt", *hs).groupBy("set_id").cogroup(
-        cells.groupBy("k_set")).applyInPandas(
-        pack, "chromosome string, segment_id int, n_variants int, positions array<int>, refs array<string>, alts array<string>, cov_lower array<double>, "
-        "h array<array<double>>, hc array<array<double>>")
-    return variants, segments.unionByName(cross, allowMissingColumns=True)
+        F.col("set_id").alias("chromosome"), *[F.floor(F.col(f"j{i}") / limit).cast("int").alias(name) for i, name in ((1, "segment_id"), (2, "other_id"))],
+        F.struct((F.col("j1") % limit).alias("i"), (F.col("j2") % limit).alias("j"), (F.col("s") / s2).alias("s")).alias("z"))
+    products = cut_lineage(every.groupBy(*at, "other_id").agg(F.collect_list("z").alias("cross")))
+    own = products.where("segment_id = other_id").drop("other_id")
+    return variants, sites.join(own, at, "left").unionByName(products.where("segment_id < other_id"), allowMissingColumns=True)
 
 
 def study_metadata(spark: SparkSession, null: NullModel, trait: str, covariates: list[str], maf_cutoff: float, width: int = SEGMENT_BP) -> DataFrame:
@@ -125,15 +114,6 @@ def union_studies(frames: list[DataFrame]) -> DataFrame:
 # --------------------------------------------------------------------- pooling
 
 
-def _require_dense(members: DataFrame, limit: int | None) -> None:
-    from .settests import DENSE_LIMIT, set_sizes
-
-    limit = limit or DENSE_LIMIT
-    top = set_sizes(members).agg(F.max("m").alias("m")).first()["m"]
-    if top is not None and top > limit:
-        raise ValueError(f"a set has {top} variants; pooled tests take at most {limit} per set, split it first")
-
-
 def merge_variants(studies: DataFrame, maf_cutoff: float) -> DataFrame:
     """One row per site in lexicographic allele order.
 
@@ -170,48 +150,54 @@ def match_known_loci(variants: DataFrame, loci: DataFrame) -> DataFrame:
     return variants.join(ids, ["chromosome", "position", "ref", "alt"], "left_semi")
 
 
-def covariance_cells(members: DataFrame, segments: DataFrame, by_study: bool = False) -> DataFrame:
-    """(set_id[, study_idx], j1 <= j2, s): covariance of set members summed over studies.
+def found_members(members: DataFrame, segments: DataFrame) -> DataFrame:
+    """(set_id, j) at its places in the studies: study_idx, chromosome, segment_id, idx, sign ``sg`` and signed ``g``.
 
-    ``members``: set_id, j, chromosome, position, ref, alt in canonical order.
-    A stored variant may be flipped; its cells then change sign.  Only the
-    members present in a segment are looked up in its packed triangle, by index
-    arithmetic, so the triangle is never exploded as a whole.
+    ``members``: set_id, j, chromosome, position, ref, alt in canonical order; a stored variant may be flipped.
     """
     a, b, sign = orient("r", "a")
     at = ["study_idx", "chromosome", "segment_id"]
-    own = segments.where("other_id is null")
-    local = own.select(*at, F.posexplode(F.arrays_zip(
-        F.col("positions").alias("p"), F.col("refs").alias("r"), F.col("alts").alias("a"), "h", "hc")).alias("idx", "z")).select(*at, "idx", "z.*")
-    local = local.select(*at, "idx", F.col("p").alias("position"), a.alias("ref"), b.alias("alt"), sign.alias("sg"), "h", "hc")
+    local = segments.where("other_id is null").select(*at, F.posexplode(F.arrays_zip(
+        F.col("positions").alias("p"), F.col("refs").alias("r"), F.col("alts").alias("a"), "g")).alias("idx", "z")).select(*at, "idx", "z.*")
+    local = local.select(*at, "idx", F.col("p").alias("position"), a.alias("ref"), b.alias("alt"), sign.alias("sg"), F.transform("g", lambda x: x * sign).alias("g"))
     found = members.select("set_id", "j", "chromosome", "position", "ref", "alt").join(local, ["chromosome", "position", "ref", "alt"])
-    found = cut_lineage(found)  # read five times below
-    held = found.groupBy("set_id", "study_idx", "chromosome", "segment_id").agg(
-        F.collect_list(F.struct("j", "idx", "sg")).alias("m"))  # at most one segment's variants
-    with_cov = held.join(own.select("study_idx", "chromosome", "segment_id", "cov_lower"), ["study_idx", "chromosome", "segment_id"])
-
-    def cell(x: Column, y: Column) -> Column:
-        row, col = F.greatest(x["idx"], y["idx"]), F.least(x["idx"], y["idx"])
-        at = (row.cast("long") * (row + 1) / 2 + col).cast("int")
-        return F.struct(x["j"].alias("j1"), y["j"].alias("j2"), (F.get("cov_lower", at) * x["sg"] * y["sg"]).alias("s"))
-
-    cells = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["j"] >= x["j"]), lambda y: cell(x, y)))
-    keys = ["set_id"] + (["study_idx"] if by_study else [])
-    within = with_cov.select("set_id", "study_idx", F.explode(F.flatten(cells)).alias("c")).select("set_id", "study_idx", "c.*")
-
-    # Members of one set in two segments: the products both share, less the projection.
-    def side(k: int) -> DataFrame:
-        segment = "segment_id" if k == 1 else "other_id"
-        return found.select("set_id", "study_idx", "chromosome", F.col("segment_id").alias(segment), F.col("idx").alias("ij"[k - 1]), F.col("j").alias(f"n{k}"), F.col("sg").alias(f"g{k}"), F.col("h" if k == 1 else "hc").alias(f"h{k}"))
-
-    spots = [F.least("n1", "n2").alias("j1"), F.greatest("n1", "n2").alias("j2")]
-    shared = segments.where("other_id is not null").select(*at, "other_id", F.explode("cross").alias("z")).select(*at, "other_id", "z.*")
-    shared = shared.join(side(1).drop("h1"), [*at, "i"]).join(side(2).drop("h2"), ["set_id", "study_idx", "chromosome", "other_id", "j"])
-    shared = shared.select("set_id", "study_idx", *spots, (F.col("s") * F.col("g1") * F.col("g2")).alias("s"))
-    lost = side(1).join(side(2), ["set_id", "study_idx", "chromosome"]).where("segment_id < other_id")
-    dot = F.aggregate(F.zip_with("h1", "h2", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    lost = lost.select("set_id", "study_idx", *spots, (-dot * F.col("g1") * F.col("g2")).alias("s"))
-    return within.unionByName(shared).unionByName(lost).groupBy(*keys, "j1", "j2").agg(F.sum("s").alias("s"))
+    return cut_lineage(found)  # read several times
+
+
+def _side(found: DataFrame, k: int, *rest: str) -> DataFrame:
+    segment = "segment_id" if k == 1 else "other_id"
+    return found.select("set_id", "study_idx", "chromosome", F.col("segment_id").alias(segment), F.col("idx").alias("ij"[k - 1]), F.col("j").alias(f"n{k}"), F.col("sg").alias(f"g{k}"), *[F.col(x).alias(f"{x}{k}_") for x in rest])
+
+
+#: Two places of one member make its own cell, from both sides.
+_TWICE = "CASE WHEN n1 = n2 AND (segment_id <> other_id OR i <> j) THEN 2.0 ELSE 1.0 END"
+_SPOTS = ("least(n1, n2) AS j1", "greatest(n1, n2) AS j2")
+
+
+def shared_cells(found: DataFrame, segments: DataFrame, by_study: bool = False) -> DataFrame:
+    """(set_id[, study_idx], j1 <= j2, s): non-zero products of set members, before the projection, summed over studies."""
+    at = ["study_idx", "chromosome", "segment_id"]
+    other = F.coalesce("other_id", "segment_id").alias("other_id")
+    stored = segments.select(*at, other, F.explode("cross").alias("z")).select(*at, "other_id", "z.*")
+    both = stored.join(_side(found, 1), [*at, "i"]).join(_side(found, 2), ["set_id", "study_idx", "chromosome", "other_id", "j"])
+    return both.selectExpr("set_id", "study_idx", *_SPOTS, f"s * g1 * g2 * {_TWICE} AS s").groupBy(*_keys(by_study), "j1", "j2").agg(F.sum("s").alias("s"))
+
+
+def _keys(by_study: bool) -> list[str]:
+    return ["set_id"] + (["study_idx"] if by_study else [])
+
+
+def covariance_cells(members: DataFrame, segments: DataFrame, by_study: bool = False) -> DataFrame:
+    """(set_id[, study_idx], j1 <= j2, s): covariance of set members summed over studies.
+
+    Every pair is a row, which is quadratic in a set; tests work from :func:`shared_cells`.
+    """
+    found = found_members(members, segments)
+    pairs = _side(found, 1, "g").join(_side(found, 2, "g"), ["set_id", "study_idx", "chromosome"]).where("segment_id < other_id OR (segment_id = other_id AND i <= j)")
+    dot = F.aggregate(F.zip_with("g1_", "g2_", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    lost = pairs.withColumn("s", -dot).selectExpr("set_id", "study_idx", *_SPOTS, f"s * {_TWICE} AS s")
+    shared = shared_cells(found, segments, True).select("set_id", "study_idx", "j1", "j2", "s")
+    return shared.unionByName(lost).groupBy(*_keys(by_study), "j1", "j2").agg(F.sum("s").alias("s"))
 
 
 def meta_members(merged: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -228,11 +214,18 @@ RESULT = (
 COLUMNS = ["set_id", "mask", "n_variants", "cmac", "n_total", "start", "end", "burden_beta", "burden_se", "p"]
 
 
-def _row(key: str, mask: str, v: pd.DataFrame, u: np.ndarray, k: np.ndarray) -> tuple:
+def _row(key: str, mask: str, v: pd.DataFrame, u: np.ndarray, cells: Cells, h: np.ndarray, inv: np.ndarray) -> tuple:
+    """Battery and burden effect of a mask whose covariance is its cells less ``h inv h'``."""
     n = int(v["n_total"].max())
-    one = float(k.sum())
+    one = float(cells.v.sum() - h.sum(0) @ inv @ h.sum(0))
     beta, se = (float(u.sum()) / one, one**-0.5) if one > 0 and np.isfinite(one) else (np.nan, np.nan)
-    p = battery(u, k, v["maf"].to_numpy(float), v[W_COLS].to_numpy(float).T, n)
+    maf, chan = v["maf"].to_numpy(float), v[W_COLS].to_numpy(float).T
+    if len(v) > SMALL and cells.few():
+        single = single_p(u, cells.diagonal(cells.v) - ((h @ inv) * h).sum(1))
+        sums = run_sums(cells, [Layer(cells.v, u[:, None], h, inv, single, u**2)], maf, chan, n, 0, len(v), TILE)
+        p = battery_p(sums[0], 1, 1, inv, single_burden, moments_p)
+    else:
+        p = battery(u, cells.rows(h, inv, 0, len(v), cells.v), maf, chan, n)
     return (key, mask, len(v), int(v["mac_total"].sum()), n, int(v["position"].min()), int(v["position"].max()), beta, se, p)
 
 
@@ -247,45 +240,76 @@ def _slices(v: pd.DataFrame, minimum: int):
             yield name, np.asarray(idx)
 
 
-def _dense(c: pd.DataFrame, m: int) -> np.ndarray:
-    k = np.zeros((m, m))
-    a, b, s = c["j1"].to_numpy(), c["j2"].to_numpy(), c["s"].to_numpy()
-    k[a, b] = s
-    k[b, a] = s
-    return k
-
-
 VALUE_COLS = ["set_id", "j", "position", "maf", "mac_total", "n_total", "u_meta", "masks", *W_COLS]
 
 
-def _with_cells(v: DataFrame, cells: DataFrame, test) -> DataFrame:
-    # Both sides descend from the members, so the cells' key needs a name of its own.
-    keyed = cells.select(F.col("set_id").alias("k_set"), *[c for c in cells.columns if c != "set_id"])
-    return v.groupBy("set_id").cogroup(keyed.groupBy("k_set")).applyInPandas(test, RESULT)
+def _tested(members: DataFrame, segments: DataFrame, per_study: bool, minimum: int) -> DataFrame:
+    """Battery of every mask given the members that are not ``is_test``.
 
+    A task takes one set: its members and its non-zero products, a row a study.
+    """
+    found = found_members(members, segments)
+    sides = found.groupBy("set_id", "j").agg(F.collect_list(F.struct("study_idx", "g")).alias("g"))  # an entry a study and orientation
+    v = members.select(*VALUE_COLS, "is_test", "studies").join(sides, ["set_id", "j"], "left")
+    cells = shared_cells(found, segments, True).withColumnRenamed("set_id", "k_set")
+    # A count of its own: sets are few bytes, which would meet in few tasks.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def test(key: tuple, v: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values("j").reset_index(drop=True)
+        u, whole, h, inv = _given(v, c, per_study)
+        rows = []
+        for mask, i in _slices(v, minimum):
+            rows.append(_row(key[0], mask, v.iloc[i], u[i], whole.subset(i)[0], h[i], inv))
+        return pd.DataFrame(rows, columns=COLUMNS)
 
-def meta_tests(members: DataFrame, segments: DataFrame, minimum: int = 2) -> DataFrame:
-    """Pooled battery and burden effect per gene x mask."""
+    return v.repartition(parts, "set_id").groupBy("set_id").cogroup(cells.repartition(parts, "k_set").groupBy("k_set")).applyInPandas(test, RESULT)
 
-    _require_dense(members, None)
-    cells = covariance_cells(members, segments)
-    v = members.select(*VALUE_COLS).withColumn("is_test", F.lit(True))
 
-    def test(key, v: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("j").reset_index(drop=True)
-        k, u = _dense(c, len(v)), v["u_meta"].to_numpy(float)
-        rows = [_row(key[0], mask, v.iloc[i], u[i], k[np.ix_(i, i)]) for mask, i in _slices(v, minimum)]
-        return pd.DataFrame(rows, columns=COLUMNS)
+def _given(v: pd.DataFrame, c: pd.DataFrame, per_study: bool) -> tuple[np.ndarray, Cells, np.ndarray, np.ndarray]:
+    """Scores, cells and projection of all members given the loci among them.
 
-    return _with_cells(v, cells, test)
+    Loci take thin products off the covariance, as covariates do: K - K_c (K_cc + ridge)^-1 K_c'.
+    """
+    m, cond = len(v), np.flatnonzero(~v["is_test"].to_numpy(bool))
+    listed = [(i, e["study_idx"], np.asarray(e["g"], float)) for i, es in enumerate(v["g"]) if es is not None for e in es]
+    studies = sorted({s for _, s, _ in listed})
+    width = len(listed[0][2]) if listed else 0
+    sides = {s: np.zeros((m, width)) for s in studies}
+    for i, s, g in listed:
+        sides[s][i] += g
+    u = v["u_meta"].to_numpy(float)
+    pooled = c.groupby(["j1", "j2"], as_index=False)["s"].sum()
+    whole = Cells(pooled["j1"].to_numpy(), pooled["j2"].to_numpy(), pooled["s"].to_numpy(), m)
+    every = np.hstack([sides[s] for s in studies]) if studies else np.zeros((m, 0))
+    thin, inner = [every], [np.eye(every.shape[1])]
+    if len(cond):
+        parts = [(u, whole, every)]
+        if per_study:
+            parts = []
+            for s in studies:
+                own = c[c["study_idx"] == s]
+                # A site counts with its first entry in a study.
+                first = [next((e["u"] for e in es if e["study_idx"] == s), 0.0) for es in v["studies"]]
+                parts.append((np.array(first, float), Cells(own["j1"].to_numpy(), own["j2"].to_numpy(), own["s"].to_numpy(), m), sides[s]))
+        u = np.zeros(m)
+        for us, cells, h in parts:
+            k = cells.columns(cond) - h @ h[cond].T
+            back = np.linalg.inv(k[cond] + RIDGE * np.eye(len(cond)))
+            u = u + us - k @ (back @ us[cond])
+            thin.append(k)
+            inner.append(back)
+    h, inv = np.hstack(thin), np.zeros((sum(map(len, inner)),) * 2)
+    at = 0
+    for b in inner:
+        inv[at : at + len(b), at : at + len(b)] = b
+        at += len(b)
+    return u, whole, h, inv
 
 
-def _schur(u: np.ndarray, k: np.ndarray, t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score and covariance of ``t`` given the loci ``c``."""
-    if not len(c):
-        return u[t], k[np.ix_(t, t)]
-    f = np.linalg.solve(k[np.ix_(c, c)] + RIDGE * np.eye(len(c)), k[np.ix_(c, t)]).T
-    return u[t] - f @ u[c], k[np.ix_(t, t)] - f @ k[np.ix_(c, t)]
+def meta_tests(members: DataFrame, segments: DataFrame, minimum: int = 2) -> DataFrame:
+    """Pooled battery and burden effect per gene x mask."""
+    return _tested(members.withColumn("is_test", F.lit(True)), segments, False, minimum)
 
 
 def conditional_members(members: DataFrame, merged: DataFrame, loci: DataFrame) -> DataFrame:
@@ -306,44 +330,19 @@ def conditional_tests(members: DataFrame, segments: DataFrame, per_study: bool =
     ``per_study`` conditions inside every study before pooling.  A known locus
     that belongs to the tested mask's gene is not conditioned on.
     """
-
-    _require_dense(members, None)
-    cells = covariance_cells(members, segments, by_study=True)
-    v = members.select(*VALUE_COLS, "is_test", "studies")
-
-    def test(key, v: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("j").reset_index(drop=True)
-        m = len(v)
-        cond = np.flatnonzero(~v["is_test"].to_numpy(bool))
-        parts = []
-        if per_study and len(cond):
-            for s, cs in c.groupby("study_idx"):
-                u = np.zeros(m)
-                for i, entries in enumerate(v["studies"]):
-                    for e in entries:
-                        if e["study_idx"] == s:
-                            u[i] = e["u"]
-                            break
-                parts.append((u, _dense(cs, m)))
-        else:
-            pooled = c.groupby(["j1", "j2"], as_index=False)["s"].sum()
-            parts.append((v["u_meta"].to_numpy(float), _dense(pooled, m)))
-        rows = []
-        for mask, i in _slices(v, minimum):
-            done = [_schur(u, k, i, cond) for u, k in parts]
-            rows.append(_row(key[0], mask, v.iloc[i], sum(d[0] for d in done), sum(d[1] for d in done)))
-        return pd.DataFrame(rows, columns=COLUMNS)
-
-    return _with_cells(v, cells, test)
+    return _tested(members, segments, per_study, minimum)
 
 
 def burden_effect(members: DataFrame, segments: DataFrame) -> DataFrame:
-    """Unweighted pooled burden effect per set, 1'U / 1'K1, from sums alone."""
-    cells = covariance_cells(members, segments)
-    k = cells.groupBy("set_id").agg(F.sum(F.when(F.col("j1") == F.col("j2"), F.col("s")).otherwise(2 * F.col("s"))).alias("k1"))
+    """Unweighted pooled burden effect per set, 1'U / 1'K1, from sums alone: no pair without a common carrier is made."""
+    found = found_members(members, segments)
+    k = shared_cells(found, segments).groupBy("set_id").agg(F.sum(F.when(F.col("j1") == F.col("j2"), F.col("s")).otherwise(2 * F.col("s"))).alias("s1"))
+    sums = found.select("set_id", "study_idx", F.posexplode("g").alias("q", "x")).groupBy("set_id", "study_idx", "q").agg(F.sum("x").alias("x"))
+    lost = sums.groupBy("set_id").agg(F.sum(F.col("x") * F.col("x")).alias("p1"))
     u = members.groupBy("set_id").agg(F.sum("u_meta").alias("u1"), F.count("*").alias("n_variants"))
+    t = u.join(lost, "set_id").join(k, "set_id", "left").withColumn("k1", F.coalesce("s1", F.lit(0.0)) - F.col("p1"))
     ok = F.col("k1") > 0
-    return u.join(k, "set_id").select(
+    return t.select(
         "set_id", "n_variants", F.when(ok, F.col("u1") / F.col("k1")).alias("burden_beta"),
         F.when(ok, 1.0 / F.sqrt("k1")).alias("burden_se"))
 

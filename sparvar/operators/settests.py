@@ -341,6 +341,14 @@ class Cells:
         own = self.r == self.c
         return np.bincount(self.r[own], v[own], self.m)
 
+    def columns(self, idx: np.ndarray) -> np.ndarray:
+        """Columns ``idx`` (ascending) as a dense matrix."""
+        new = np.full(self.m, -1)
+        new[idx] = np.arange(len(idx))
+        at, out = np.flatnonzero(new[self.c] >= 0), np.zeros((self.m, len(idx)))
+        out[self.r[at], new[self.c[at]]] = self.v[at]
+        return out
+
     def subset(self, idx: np.ndarray) -> tuple[Cells, np.ndarray]:
         """The cells between rows ``idx`` (ascending) and their places among all cells."""
         new = np.full(self.m, -1)

@@ -57,15 +57,13 @@ class Studies:
         sign = F.transform("positions", lambda p: F.when(F.floor(p / 50) % 4 == 0, -1.0).otherwise(1.0))
         pick = lambda a, b: F.transform(F.arrays_zip("sg", a, b), lambda z: F.when(z["sg"] < 0, z[b]).otherwise(z[a]))
         rows = segments.withColumn("sg", sign).withColumns({"refs": pick("refs", "alts"), "alts": pick("alts", "refs")})
-        # Entry (i, j) of the packed triangle takes both signs.
-        signs = F.flatten(F.transform("sg", lambda a, i: F.transform(F.slice("sg", 1, i + 1), lambda b: a * b)))
-        rows = rows.withColumn("cov_lower", F.zip_with("cov_lower", signs, lambda k, s: k * s))
-        rows = rows.withColumns({x: F.zip_with(x, "sg", lambda h, s: F.transform(h, lambda v: v * s)) for x in ("h", "hc")})
-        # Products of two segments take the signs of both.
-        at = rows.where("other_id is null").select("chromosome", "segment_id", F.col("sg").alias("sg1"))
-        rows = rows.join(at, ["chromosome", "segment_id"], "left").join(at.select("chromosome", F.col("segment_id").alias("other_id"), F.col("sg1").alias("sg2")), ["chromosome", "other_id"], "left")
+        rows = rows.withColumn("g", F.zip_with("g", "sg", lambda g, s: F.transform(g, lambda v: v * s)))
+        # Products take the signs of both variants, of one segment or two.
+        own = rows.where("other_id is null")
+        at = own.select("chromosome", F.col("segment_id").alias("_o"), F.col("sg").alias("sg2"))
+        rows = rows.withColumn("_o", F.coalesce("other_id", "segment_id")).drop("sg").join(own.select("chromosome", "segment_id", F.col("sg").alias("sg1")), ["chromosome", "segment_id"]).join(at, ["chromosome", "_o"])
         signed = F.transform("cross", lambda z: F.struct(z["i"].alias("i"), z["j"].alias("j"), (z["s"] * F.get("sg1", z["i"]) * F.get("sg2", z["j"])).alias("s")))
-        return variants, rows.withColumn("cross", signed).drop("sg", "sg1", "sg2")
+        return variants, rows.withColumn("cross", signed).drop("sg1", "sg2", "_o")
 
     @cached_property
     def merged(self) -> DataFrame:

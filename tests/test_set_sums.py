@@ -38,3 +38,54 @@ def test_runs_of_a_set_add_up(families, monkeypatch, rows):
     null = NM.fit_gaussian(pheno, "y", ["x1"])
     want, got = ({r["mask"]: r.p for r in f(members, carriers, null).collect()} for f in (ST.dense_set_tests, lambda *a: ST.large_set_tests(*a, tile=8)))
     assert want.keys() == got.keys() and all(np.allclose(got[k], p, rtol=1e-5, atol=1e-9) for k, p in want.items())
+
+
+def pooled(rng, m):
+    import pandas as pd
+
+    g = (rng.random((300, m)) < 0.02) * 1.0
+    side = np.c_[np.ones(300), rng.random(300)]
+    h, inv = g.T @ side, np.linalg.inv(side.T @ side)
+    s = g.T @ g
+    a, b = np.nonzero(np.triu(s))
+    v = pd.DataFrame({"maf": rng.uniform(0.001, 0.2, m), "mac_total": 5, "n_total": 300, "position": np.arange(m), **{f"w{i}": rng.random(m) for i in range(11)}})
+    return v, a, b, s, h, inv
+
+
+def test_pooled_mask_of_many_variants(monkeypatch):
+    """Sums and decomposition agree; sets of more than 2,000 variants were refused before."""
+    from sparvar.operators import meta as M
+
+    rng = np.random.default_rng(2)
+    v, a, b, s, h, inv = pooled(rng, 300)
+    u, cells = rng.normal(size=300) * 3, ST.Cells(a, b, s[a, b], 300)
+    assert cells.few()
+    small = M._row("s", "m", v, u, cells, h, inv)
+    monkeypatch.setattr(M, "SMALL", 1000)
+    want = M._row("s", "m", v, u, cells, h, inv)
+    k = s - h @ inv @ h.T
+    assert small[:7] == want[:7] and np.allclose(small[7:9], (u.sum() / k.sum(), k.sum() ** -0.5)) and np.allclose(small[9], want[9], rtol=1e-5, atol=1e-9)
+
+
+@pytest.mark.parametrize("per_study", [False, True])
+def test_loci_are_thin_products(per_study):
+    import pandas as pd
+
+    from sparvar.operators import meta as M
+
+    rng, m, c, studies = np.random.default_rng(5), 30, np.array([3, 11]), []
+    for _ in range(2):
+        _, a, b, s, h, inv = pooled(rng, m)
+        studies.append((a, b, s, h @ np.linalg.cholesky(inv), rng.normal(size=m)))
+    v = pd.DataFrame({"is_test": ~np.isin(np.arange(m), c), "u_meta": sum(x[4] for x in studies)})
+    v["g"] = [[{"study_idx": k, "g": x[3][i]} for k, x in enumerate(studies)] for i in range(m)]
+    v["studies"] = [[{"study_idx": k, "u": x[4][i]} for k, x in enumerate(studies)] for i in range(m)]
+    cells = pd.concat([pd.DataFrame({"study_idx": k, "j1": x[0], "j2": x[1], "s": x[2][x[0], x[1]]}) for k, x in enumerate(studies)])
+    u, whole, h, inv = M._given(v, cells, per_study)
+    ks = [x[2] - x[3] @ x[3].T for x in studies]
+    parts = list(zip(ks, [x[4] for x in studies])) if per_study else [(sum(ks), v["u_meta"].to_numpy())]
+    want_u, want_k = np.zeros(m), np.zeros((m, m))
+    for k, us in parts:
+        f = np.linalg.solve(k[np.ix_(c, c)] + M.RIDGE * np.eye(2), k[c]).T
+        want_u, want_k = want_u + us - f @ us[c], want_k + k - f @ k[c]
+    assert np.allclose(u, want_u) and np.allclose(whole.rows(h, inv, 0, m, whole.v), want_k)
