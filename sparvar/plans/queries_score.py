@@ -309,9 +309,8 @@ def t03(c: Cohort) -> DataFrame:
 
     path = scratch_path(c.spark, "scores")
     scorecache.save(path, genes(c), c.carriers, gaussian(c))
-    k = scorecache.load_cells(c.spark, path, c.variants.filter("variant_id % 2 = 0").select("variant_id"))
-    return k.groupBy("set_id").agg(F.count("*").alias("n_cells"), F.round(F.sum(
-        F.when(F.col("v1") == F.col("v2"), F.col("k")).otherwise(2 * F.col("k"))), 9).alias("total"))
+    k = scorecache.cell_totals(c.spark, path, c.variants.filter("variant_id % 2 = 0").select("variant_id"))
+    return k.select("set_id", "n_cells", rnd("total", 9))
 
 
 @query("T09_T10_cauchy", sql(

@@ -40,6 +40,21 @@ def test_runs_of_a_set_add_up(families, monkeypatch, rows):
     assert want.keys() == got.keys() and all(np.allclose(got[k], p, rtol=1e-5, atol=1e-9) for k, p in want.items())
 
 
+def test_store_keeps_products_and_no_pairs(spark, families, tmp_path):
+    from sparvar.operators import scorecache
+
+    pheno, _, carriers, members = families
+    null, path = NM.fit_gaussian(pheno, "y", ["x1"]), str(tmp_path / "c")
+    few = carriers.where("sample_idx % 3 = 0")
+    scorecache.save(path, members, few, null)
+    subset = members.where("variant_id % 2 = 0").select("variant_id")
+    pairs = scorecache.load_cells(spark, path, subset).toPandas()
+    got = scorecache.cell_totals(spark, path, subset).first()
+    assert len(pairs) == got.n_cells == 20 * 21 // 2
+    assert np.isclose(got.total, np.where(pairs.v1 == pairs.v2, pairs.k, 2 * pairs.k).sum())
+    assert spark.read.parquet(f"{path}/s").count() < 40 * 41 // 2  # every pair was a row before
+
+
 def pooled(rng, m):
     import pandas as pd
 
