@@ -131,15 +131,20 @@ def t02_genes(c: Cohort) -> DataFrame:
     ranked = cut_lineage(gram.rank_members(genes(c).select("set_id", "variant_id")))
     cells = gram.pair_products(ranked, white, null.vectors.select("sample_idx", "w"))
     hs = h_cols(null)
-    h = ranked.join(variant_scores(white, null).select("variant_id", *hs), "variant_id").select("set_id", "j", *hs)
-    # Pairs of a set that share no family have no cell, but their covariates meet.
+    h = cut_lineage(ranked.join(variant_scores(white, null).select("variant_id", *hs), "variant_id").select("set_id", "j", *hs))
+    # K = S - H C H': its trace, sum and square follow from the non-zero cells and the sums of H, so no pair without a cell is made.
+    p, c = range(len(hs)), null.cov_inv
+    sums = h.groupBy("set_id").agg(F.count("*").alias("n_variants"), *[F.sum(x).alias(f"t_{x}") for x in hs], *[F.sum(F.col(hs[i]) * F.col(hs[j])).alias(f"m_{i}_{j}") for i in p for j in p])
     a, b = (h.select("set_id", F.col("j").alias(f"j{i}"), *[F.col(x).alias(f"{x}_{i}") for x in hs]) for i in (1, 2))
-    pairs = a.join(b, "set_id").where("j1 <= j2").join(cells, ["set_id", "j1", "j2"], "left").fillna(0.0, subset=["s"])
-    k = pairs.withColumn("k", F.col("s") - quad_form(null.cov_inv, [f"{x}_1" for x in hs], [f"{x}_2" for x in hs]))
+    met = cells.join(a, ["set_id", "j1"]).join(b, ["set_id", "j2"]).withColumn("e", quad_form(c, [f"{x}_1" for x in hs], [f"{x}_2" for x in hs]))
     twice = F.when(F.col("j1") == F.col("j2"), 1.0).otherwise(2.0)
-    out = k.groupBy("set_id").agg(
-        F.sum(F.when(F.col("j1") == F.col("j2"), F.lit(1)).otherwise(0)).cast("long").alias("n_variants"), F.sum(F.when(F.col("j1") == F.col("j2"), F.col("k")).otherwise(0.0)).alias("trace"),
-        F.sum(twice * F.col("k")).alias("total"), F.sqrt(F.sum(twice * F.col("k") * F.col("k"))).alias("norm"))
+    seen = met.groupBy("set_id").agg(
+        F.sum(F.when(F.col("j1") == F.col("j2"), F.col("s")).otherwise(0.0)).alias("s1"), F.sum(twice * F.col("s")).alias("s_all"),
+        F.sum(twice * F.col("s") * (F.col("s") - 2 * F.col("e"))).alias("s2"))
+    turned = [[sum((F.lit(float(c[i, k])) * F.col(f"m_{k}_{j}") for k in p), F.lit(0.0)) for j in p] for i in p]
+    lost, lost2 = sum((turned[i][i] for i in p), F.lit(0.0)), sum((turned[i][j] * turned[j][i] for i in p for j in p), F.lit(0.0))
+    out = sums.join(seen, "set_id", "left").fillna(0.0, subset=["s1", "s_all", "s2"]).select(
+        "set_id", "n_variants", (F.col("s1") - lost).alias("trace"), (F.col("s_all") - quad_form(c, [f"t_{x}" for x in hs])).alias("total"), F.sqrt(F.col("s2") + lost2).alias("norm"))
     return out.select("set_id", "n_variants", *[rnd(F.col(x) * 1e6, 4, x) for x in ("trace", "total", "norm")])
 
 
