@@ -21,6 +21,16 @@ def families(spark):
     return pheno.cache(), kin.cache(), carriers.cache(), members.cache()
 
 
+def test_several_traits_of_relatives(families):
+    """Sets over the limit are not decomposed (they were, whatever their size)."""
+    pheno, kin, carriers, members = families
+    model = mixed.fit_reml(mixed.build_families(pheno, [kin], ["y", "y2"], ["x1"]), tol=1e-4)
+    want, got = ({r["mask"]: r for r in mixed.kinship_multi_set_tests(members, carriers, model, limit=x).collect()} for x in (None, 10))
+    assert set(want) == set(got) == {"all", "half"}
+    for k, r in want.items():
+        assert got[k].n_variants == r.n_variants and np.allclose(got[k].p, r.p, rtol=1e-5, atol=1e-9), k
+
+
 def test_ensemble_reads_genotypes_once(families, monkeypatch):
     pheno, _, carriers, members = families
     null, calls, real = NM.fit_gaussian(pheno, "y", ["x1"], ["pop"]), [], gram.pair_products
